@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import packing, sharding, token_files
+from . import html_text, packing, sharding, token_files, url_filter
 
-MODULES = (sharding, token_files, packing)
+MODULES = (sharding, token_files, packing, url_filter, html_text)
 
 
 def queries() -> dict:
