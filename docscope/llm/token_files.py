@@ -143,7 +143,7 @@ def write_token_files(
             row = [pa.array([shard], pa.int32()), *(pa.array([x]) for x in (stem, writer.n_docs, writer.n_tokens))]
             yield pa.RecordBatch.from_arrays(row, names=["shard", "stem", "n_docs", "n_tokens"])
 
-    ordered = docs.select("doc_id", "text").repartitionByRange(partitions(spark), "doc_id", "text")
+    ordered = docs.select("doc_id", "text").repartitionByRange(partitions(spark), "doc_id")
     done = ordered.sortWithinPartitions("doc_id", "text").mapInArrow(write, "shard int, stem string, n_docs long, n_tokens long")
     return sorted(tuple(r) for r in done.collect())
 
