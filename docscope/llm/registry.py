@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import html_text, line_dedup, minhash, packing, quality, sharding, token_files, toxicity, url_filter
+from . import decontamination, html_text, line_dedup, minhash, packing, quality, sharding, token_files, toxicity, url_filter
 
-MODULES = (sharding, token_files, packing, url_filter, html_text, quality, toxicity, minhash, line_dedup)
+MODULES = (sharding, token_files, packing, url_filter, html_text, quality, toxicity, minhash, line_dedup, decontamination)
 
 
 def queries() -> dict:
