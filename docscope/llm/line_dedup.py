@@ -17,6 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import staged, table, unsigned_crc
 
@@ -184,7 +185,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
             columns += [pa.array([c[i] for c in counts], pa.int64()) for i in range(3)]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    out = docs.schema
+    out = T.StructType(list(docs.schema.fields))
     for c in names[len(kinds) :]:
         out = out.add(c, "long")
     return joined.select(*kinds, "__spans").mapInArrow(run, out)
