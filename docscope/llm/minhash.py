@@ -5,12 +5,13 @@ low bits are kept, packed into a signature, and the share of equal pairs of bits
 collisions, estimates the similarity. Candidates far below the threshold by this estimate are dropped; the rest
 are confirmed on the full sets.
 
-Documents with one set are one node. Two passes find every link that matters for the components:
+Documents with one set are one node. Three steps find every link that matters for the components:
 
 1. In each bucket (documents that agree in a band) all members are compared with the smallest. A group of n
    near copies costs n comparisons a band here, not n squared.
 2. Members of one bucket in different components after this are compared with each other by their signatures, in
-   blocks, inside a task; only pairs that the estimate leaves standing are confirmed.
+   blocks, inside a task; the ``CLOSEST`` of each member by estimate are confirmed.
+3. All pairs still in different components that the estimate leaves standing are confirmed.
 
 A link within a component that is found already is not needed. No bucket is capped.
 """
@@ -29,10 +30,15 @@ from .common import partitions, staged, table
 
 BANDS, ROWS, SHINGLE, PERCENT = 22, 4, 4, 80
 HASHES = 128
-#: Candidates whose estimate is under this are dropped: over five standard deviations below 0.8 with 128 hashes.
-ESTIMATE = 0.57
-BLOCK = 1024
+#: Candidates whose estimate is under this are dropped: 4.7 standard deviations below 0.8 with 128 hashes.
+ESTIMATE = 0.6
+BLOCK, CLOSEST, CLOSEST_ROUNDS = 1024, 2, 1
+#: Members of buckets with several components get wide signatures, whose estimates err by a third as much.
+WIDE, WIDE_ESTIMATE = 1024, 0.74
+#: Forests of so many links are solved by one task; larger ones by rounds of joins.
+FOREST_LINKS = 2_000_000
 _ODD = np.random.default_rng(7).integers(1, 1 << 63, (2, HASHES), dtype=np.uint64) | np.uint64(1)
+_WIDE_ODD = np.random.default_rng(8).integers(1, 1 << 63, (2, WIDE), dtype=np.uint64) | np.uint64(1)
 FEATURES = "doc_id long, n_shingles long, set_a long, set_b long, sig binary, bands array<long>"
 
 
@@ -63,36 +69,45 @@ def shingles(text: str | None, words: int = SHINGLE, known: dict | None = None)
 
 def signature(s: np.ndarray) -> tuple[bytes, list[int]]:
     """The packed two low bits of each minimum, and the hash of each band of minima."""
-    minima = np.empty(HASHES, np.uint64)
+    mixed = minima(s, _ODD)
     with np.errstate(over="ignore"):
-        for at in range(0, HASHES, 16):
-            a, b = (x[at : at + 16, None] for x in _ODD)
+        band = np.zeros(BANDS, np.uint64)
+        for r in range(ROWS):
+            band = _mix(band * np.uint64(3) + mixed[r : BANDS * ROWS : ROWS])
+        band = _mix(band + np.arange(BANDS, dtype=np.uint64))
+    return packed(mixed), band.view(np.int64).tolist()
+
+
+def packed(mixed: np.ndarray) -> bytes:
+    bits = (mixed & np.uint64(3)).astype(np.uint8).reshape(-1, 4)
+    return (bits[:, 0] | bits[:, 1] << 2 | bits[:, 2] << 4 | bits[:, 3] << 6).astype(np.uint8).tobytes()
+
+
+def minima(s: np.ndarray, odd: np.ndarray) -> np.ndarray:
+    """The mixed minimum of each hash over a set."""
+    found = np.empty(odd.shape[1], np.uint64)
+    with np.errstate(over="ignore"):
+        for at in range(0, len(found), 16):
+            a, b = (x[at : at + 16, None] for x in odd)
             low = None
             for part in range(0, len(s), 4096):  # bounded memory for very long texts
                 x = s[None, part : part + 4096] * a
                 x = (x ^ (x >> np.uint64(32))) * b
                 m = x.min(axis=1)
                 low = m if low is None else np.minimum(low, m)
-            minima[at : at + 16] = low
-        mixed = _mix(minima)
-        bits = (mixed & np.uint64(3)).astype(np.uint8).reshape(-1, 4)
-        packed = bits[:, 0] | bits[:, 1] << 2 | bits[:, 2] << 4 | bits[:, 3] << 6
-        band = np.zeros(BANDS, np.uint64)
-        for r in range(ROWS):
-            band = _mix(band * np.uint64(3) + mixed[r : BANDS * ROWS : ROWS])
-        band = _mix(band + np.arange(BANDS, dtype=np.uint64))
-    return packed.astype(np.uint8).tobytes(), band.view(np.int64).tolist()
+            found[at : at + 16] = low
+    return _mix(found)
 
 
 def estimates(one: np.ndarray, many: np.ndarray) -> np.ndarray:
     """Collision-corrected similarity of packed signatures (rows of bytes) by counting equal pairs of bits."""
     x = one ^ many
     differ = np.bitwise_count((x | x >> 1) & np.uint8(0x55)).sum(axis=-1, dtype=np.int64)
-    return ((1 - differ / HASHES) - 0.25) / 0.75
+    return ((1 - differ / (4 * one.shape[-1])) - 0.25) / 0.75
 
 
 def _rows(c: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, HASHES // 4)
+    return np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(len(c), -1)
 
 
 def features(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
@@ -133,9 +148,25 @@ def _near(pairs: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
     return pairs.join(two, "b").join(one, "a").where(sizes).select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int, words: int) -> DataFrame:
-    """Pairs (a, b) that are linked by their full sets. Only texts of documents in pairs are shuffled."""
+def _wide(docs: DataFrame, sigs: DataFrame, members: DataFrame, words: int) -> DataFrame:
+    """doc_id, n_shingles and wide signature of the members of buckets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [packed(minima(shingles(t.as_py(), words), _WIDE_ODD)) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.binary())], names=["doc_id", "sig"])
+
+    ids = members.select("doc_id").distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
+    wide = texts.mapInArrow(run, "doc_id long, sig binary").dropDuplicates(["doc_id"])
+    return staged(wide.join(sigs.select("doc_id", "n_shingles"), "doc_id"), "wide-signatures")
+
+
+def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int, words: int) -> DataFrame | None:
+    """Pairs (a, b) that are linked by their full sets; None of none. Only texts of documents in pairs are shuffled."""
     pairs = staged(pairs, "near-pairs")
+    if not pairs.limit(1).count():
+        return None
     ids = staged(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "near-ids")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,15 +189,44 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int, words: int) -> D
 
     one = full.select(F.col("doc_id").alias("a"), F.col("set").alias("set_a"))
     two = full.select(F.col("doc_id").alias("b"), F.col("set").alias("set_b"))
-    return pairs.join(two, "b").join(one, "a").mapInArrow(check, "a long, b long")
+    linked = staged(pairs.join(two, "b").join(one, "a").mapInArrow(check, "a long, b long"), "links")
+    return linked if linked.limit(1).count() else None
+
+
+def forest(edges: DataFrame) -> DataFrame:
+    """(doc_id, component) by union-find over each partition's links: of one partition, the components."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (up := root.setdefault(x, x)) != x:
+                root[x] = up = root[up]
+                x = up
+            return x
+
+        for batch in batches:
+            for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                x, y = find(x), find(y)
+                root[max(x, y)] = min(x, y)
+        if root:
+            nodes = list(root)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array([find(x) for x in nodes])], names=["doc_id", "component"])
 
+    return edges.select("a", "b").mapInArrow(run, "doc_id long, component long")
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+
+def components(edges: DataFrame, rounds: int = 50, at_once: int = FOREST_LINKS) -> DataFrame:
     """(doc_id, component) of every node in ``edges`` (a, b): the smallest node reachable.
 
-    Each round takes the smallest label among the neighbours and then that label's own label; it ends when
-    nothing changes. Labels are written to the shared folder each round.
+    Up to ``at_once`` links are solved by one task. More are first reduced to a forest in each partition; then each
+    round takes the smallest label among the neighbours and that label's own label until nothing changes.
+    Labels are written to the shared folder each round.
     """
+    edges = staged(edges, "edges")
+    if edges.count() <= at_once:
+        return staged(forest(edges.coalesce(1)), "labels")
+    edges = forest(edges).where("doc_id <> component").select(F.col("doc_id").alias("a"), F.col("component").alias("b"))
     edges = staged(edges.union(edges.select("b", "a")).distinct(), "edges")
     labels = staged(edges.groupBy(F.col("a").alias("doc_id")).agg(F.least("doc_id", F.min("b")).alias("component")), "labels")
     for _ in range(rounds):
@@ -184,16 +244,25 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def _across(postings: DataFrame, sigs: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
-    """Pairs in one bucket but in different components that the estimate leaves standing, block against block."""
-    known = comps.select(F.col("doc_id").alias("node"), "component")
-    labelled = postings.join(known, postings.doc_id == known.node, "left").select(
-        "band", "doc_id", F.coalesce("component", "doc_id").alias("component")
-    )
+def _mixed(postings: DataFrame, comps: DataFrame | None) -> DataFrame:
+    """band, doc_id, component, blocks of the members of buckets with several components."""
+    labelled = postings.select("band", "doc_id", F.col("doc_id").alias("component"))
+    if comps is not None:
+        known = comps.select(F.col("doc_id").alias("node"), F.col("component").alias("label"))
+        labelled = postings.join(known, postings.doc_id == known.node, "left").select(
+            "band", "doc_id", F.coalesce("label", "doc_id").alias("component")
+        )
     mixed = labelled.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"))
     mixed = mixed.where("lo <> hi").select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    rows = staged(labelled.join(mixed, "band"), "mixed-buckets")
-    rows = rows.join(sigs.select("doc_id", "sig", "n_shingles"), "doc_id")
+    return staged(labelled.join(mixed, "band"), "mixed-buckets")
+
+
+def _across(mixed: DataFrame, sigs: DataFrame, percent: int, closest: int | None) -> DataFrame:
+    """Pairs in one bucket but in different components that the estimate leaves standing, block against block.
+
+    With ``closest``, only so many of each member and block, by estimate.
+    """
+    rows = mixed.join(sigs, "doc_id")
     # A member of block i is sent to the tasks of all pairs of blocks with i: buckets of one block go to one task.
     block = F.pmod(F.xxhash64("doc_id", "band"), F.col("blocks")).cast("int")
     rows = rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -213,9 +282,16 @@ def _across(postings: DataFrame, sigs: DataFrame, comps: DataFrame, percent: int
             i, j = key[1:]
             for at in range(len(ids)):
                 ok = (comp != comp[at]) & (100 * np.minimum(n, n[at]) >= percent * np.maximum(n, n[at]))
-                ok &= ids > ids[at] if i == j else (block == j) if block[at] == i else np.zeros(len(ids), bool)
+                if i == j and not closest:
+                    ok &= ids > ids[at]
+                elif i != j:
+                    ok &= block != block[at] if closest or block[at] == i else False
                 where = np.flatnonzero(ok)
-                where = where[estimates(sig[at], sig[where]) >= ESTIMATE - (80 - percent) / 100] if len(where) else where
+                if len(where):
+                    near = estimates(sig[at], sig[where])
+                    where, near = where[good := near >= WIDE_ESTIMATE - (80 - percent) / 100], near[good]
+                    if closest and len(where) > closest:
+                        where = where[np.argpartition(-near, closest - 1)[:closest]]
                 if len(where):
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.minimum(ids[at], ids[where])), pa.array(np.maximum(ids[at], ids[where]))], names=["a", "b"]
@@ -235,7 +311,7 @@ def _across(postings: DataFrame, sigs: DataFrame, comps: DataFrame, percent: int
         if held:
             yield from pairs()
 
-    n = partitions(postings.sparkSession)
+    n = partitions(mixed.sparkSession)
     dealt = rows.repartition(n, "band", "i", "j").sortWithinPartitions("band", "i", "j")
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
@@ -247,6 +323,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = SHINGL
     document's copies if their sets are equal and otherwise rows of one component. An empty table gives no
     rows; other columns are ignored. Sets are compared by 64-bit hashes of their shingles.
     """
+    spark = docs.sparkSession
     feats = staged(features(docs, words), "minhash")
     some = feats.where("n_shingles > 0")
     nodes = some.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("node"))
@@ -260,11 +337,18 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = SHINGL
     postings = staged(postings.join(leaders, "band").select("band", "doc_id", "a"), "postings")
     pairs = postings.where("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct()
     texts = docs.select("doc_id", "text")
-    edges = staged(_confirmed(_near(pairs, sigs, percent), texts, percent, words), "links")
-    comps = components(edges)
-    more = staged(_confirmed(_across(postings.select("band", "doc_id"), sigs, comps, percent), texts, percent, words), "links")
-    if more.limit(1).count():
-        comps = components(edges.union(more))
+    edges = _confirmed(_near(pairs, sigs, percent), texts, percent, words)
+    comps = components(edges) if edges else None
+    members = mixed = _mixed(postings, comps)
+    wide = _wide(texts, sigs, members, words)
+    for closest in (*[CLOSEST] * CLOSEST_ROUNDS, None):
+        more = _confirmed(_across(mixed, wide, percent, closest), texts, percent, words)
+        if more:
+            edges = edges.union(more) if edges else more
+            comps = components(edges)
+            mixed = _mixed(members.select("band", "doc_id"), comps)
+    if comps is None:
+        comps = spark.createDataFrame([], "doc_id long, component long")
     comps = comps.select(F.col("doc_id").alias("node"), "component")
     sets = nodes.join(comps, "node", "left").select("set_a", "set_b", F.coalesce("component", "node").alias("component"))
     out = feats.join(sets, ["set_a", "set_b"], "left")
