@@ -1,19 +1,21 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Documents are read as overlapping passages of words. TF-IDF weights come from the passage counts of the whole
+Documents are read as overlapping passages of words. TF-IDF weights come from the document counts of the whole
 corpus. A randomised SVD of the passages (with the benchmark items as weighted rows, so that the space has room
 for each) is computed where the passages are; only matrices of vocabulary by rank reach the driver. Passages whose
 cosine with an item passes a threshold are candidates, and candidates are checked on the text: longest common
 subsequence of words, and for looser matches the item's answer.
 
-The vocabulary is that of the benchmark, without terms of over ``MAX_SHARE`` of all passages: other terms add
-nothing to a product with an item. Items are handled in blocks of ``ITEM_BLOCK``, each with a space of its own, so
+The vocabulary is that of the benchmark, without terms of over ``MAX_SHARE`` of all documents (but each item keeps
+its ``LEAST_TERMS`` rarest): other terms add nothing to a product with an item. Passages with fewer than
+``LEAST_SHARED`` different terms of it are no candidates; of an item, some passage holds nearly all. Items are handled in blocks of ``ITEM_BLOCK``, each with a space of its own, so
 matrices have a bound whatever the benchmark's size.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -23,19 +25,19 @@ from pyspark.sql import functions as F
 from .common import staged, table
 
 HALF = 32  #: a passage has two halves and shares each with a neighbour
-MAX_SHARE, LEAST_TERMS = 0.01, 6
+MAX_SHARE, LEAST_TERMS, LEAST_SHARED = 0.005, 6, 3
 ITEM_BLOCK, EXTRA_RANK, OVERSAMPLE = 256, 32, 16
-COSINE, COPY, PARAPHRASE, ANSWER = 0.2, 0.75, 0.6, 0.7
+COSINE, COPY, PARAPHRASE, ANSWER = 0.12, 0.75, 0.6, 0.7
 BROADCAST_ROWS = 1_000_000
 EDGES = "\"'`.,;:!?()[]{}<>*#$%&|-_~+=/\\“”‘’«»¿¡…"
 
 
-def normal(words: list[str]) -> list[str]:
-    return [w for x in words if (w := x.strip(EDGES))]
-
-
 def words_of(text: str | None) -> list[str]:
-    return normal((text or "").lower().split())
+    """Lower-case words between white space and punctuation."""
+    text = text or ""
+    for c in EDGES:
+        text = text.replace(c, " ")
+    return text.lower().split()
 
 
 def answer_of(text: str | None) -> list[str]:
@@ -44,22 +46,18 @@ def answer_of(text: str | None) -> list[str]:
     return words_of(sentences[-1]) if sentences else []
 
 
-class Terms(dict):
-    """raw word -> index in the vocabulary, or -1; the table is bounded."""
+class Terms:
+    """Finds the terms of a vocabulary (word -> index) in texts."""
 
     def __init__(self, vocabulary: dict[str, int]) -> None:
-        self.vocabulary = vocabulary
-
-    def __missing__(self, raw: str) -> int:
-        if len(self) > 300_000:
-            self.clear()
-        got = self[raw] = self.vocabulary.get(raw.strip(EDGES), -1)
-        return got
-
-    def passages(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-        """Passage, term and count of each term in each passage, and the number of passages."""
-        raw = (text or "").lower().split()
-        ids = np.fromiter(map(self.__getitem__, raw), np.int64, len(raw))
+        self.vocabulary, self.words = vocabulary, frozenset(vocabulary)
+
+    def passages(self, text: str | None, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Passage, term and count of each term in each passage, of a text with ``least`` terms or more."""
+        raw = words_of(text)
+        if len(self.words.intersection(raw)) < least:
+            return (np.empty(0, np.int64),) * 3
+        ids = np.fromiter(map(self.vocabulary.get, raw, repeat(-1)), np.int64, len(raw))
         at = np.flatnonzero(ids >= 0)
         last = max(0, (len(raw) - 1) // HALF - 1)  # passages 0 to last; passage p has halves p and p + 1
         half, size = at // HALF, len(self.vocabulary)
@@ -67,7 +65,11 @@ class Terms(dict):
         p = np.concatenate([first[first >= 0], second[second <= last]])
         t = np.concatenate([ids[at][first >= 0], ids[at][second <= last]])
         key, n = np.unique(p * size + t, return_counts=True)
-        return key // size, key % size, n, last + 1 if raw else 0
+        return key // size, key % size, n
+
+    def distinct(self, text: str | None) -> list[int]:
+        """The different terms of a text."""
+        return [self.vocabulary[w] for w in self.words.intersection(words_of(text))]
 
 
 def lcs(a: list[str], b: list[str]) -> int:
@@ -85,16 +87,20 @@ def lcs(a: list[str], b: list[str]) -> int:
 
 
 def _counts(docs: DataFrame, vocabulary: dict[str, int]) -> tuple[np.ndarray, int]:
-    """Passages with each term, and all passages, over the whole corpus."""
+    """Documents with each term, and all documents."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms, df, n = Terms(shared.value), np.zeros(len(shared.value), np.int64), 0
         for b in batches:
+            found: list[int] = []
             for text in b.column("text"):
-                _, t, _, k = terms.passages(text.as_py())
-                df += np.bincount(t, minlength=len(df))
-                n += k
+                found += terms.distinct(text.as_py())
+                if len(found) > 1_000_000:
+                    df += np.bincount(found, minlength=len(df))
+                    found = []
+            df += np.bincount(np.array(found, np.int64), minlength=len(df))
+            n += b.num_rows
         where = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array([*where, -1]), pa.array([*df[where], n])], names=["term", "n"])
 
@@ -120,7 +126,7 @@ def _sparse(docs: DataFrame, vocabulary: dict[str, int], weight: np.ndarray, lea
         for b in batches:
             out: list[tuple] = []
             for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
-                p, t, n, _ = terms.passages(text.as_py())
+                p, t, n = terms.passages(text.as_py(), least)
                 for rows in np.split(np.arange(len(p)), np.flatnonzero(np.diff(p)) + 1) if len(p) else []:
                     if len(rows) >= least:
                         at = back[t[rows]]
@@ -218,12 +224,12 @@ def _checked(docs: DataFrame, candidates: DataFrame, items: dict[int, tuple[list
         for b in batches:
             out: list[tuple] = []
             for doc_id, text, found in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
-                raw = text.as_py().lower().split()
+                raw = words_of(text.as_py())
                 best: dict[int, tuple] = {}
                 for f in found:
                     words, answer = shared.value[f["item_id"]]
                     lo = max(0, f["passage"] * HALF - len(words))
-                    region = normal(raw[lo : (f["passage"] + 2) * HALF + len(words)])
+                    region = raw[lo : (f["passage"] + 2) * HALF + len(words)]
                     part = lcs(words, region) / len(words)
                     kind = "copy" if part >= COPY else None
                     if not kind and part >= PARAPHRASE and answer and lcs(answer, region) >= ANSWER * len(answer):
@@ -256,7 +262,7 @@ def _block(docs: DataFrame, items: list[tuple[int, str]]) -> DataFrame | None:
     for r, i in enumerate(ids):
         t, n = np.unique([vocabulary[w] for w in words[i]], return_counts=True)
         matrix[r, t] = (1 + np.log(n)) * weight[t]
-    least = 2 if all((matrix > 0).sum(axis=1) > 1) else 1
+    least = int(np.clip((matrix > 0).sum(axis=1).min() - 1, 1, LEAST_SHARED))
     rows = staged(_sparse(docs, vocabulary, weight, least), "passages")
     basis = latent_basis(rows, matrix, min(len(vocabulary), len(ids) + EXTRA_RANK))
     text = dict(items)
