@@ -37,6 +37,7 @@ BLOCK, CLOSEST, CLOSEST_ROUNDS = 1024, 2, 1
 WIDE, WIDE_ESTIMATE = 1024, 0.74
 #: Forests of so many links are solved by one task; larger ones by rounds of joins.
 FOREST_LINKS = 2_000_000
+BROADCAST_IDS = 1_000_000
 _ODD = np.random.default_rng(7).integers(1, 1 << 63, (2, HASHES), dtype=np.uint64) | np.uint64(1)
 _WIDE_ODD = np.random.default_rng(8).integers(1, 1 << 63, (2, WIDE), dtype=np.uint64) | np.uint64(1)
 FEATURES = "doc_id long, n_shingles long, set_a long, set_b long, sig binary, bands array<long>"
@@ -148,6 +149,12 @@ def _near(pairs: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
     return pairs.join(two, "b").join(one, "a").where(sizes).select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
 
 
+def _holding(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents with these ids: texts are not shuffled unless there are too many ids to broadcast."""
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
+
+
 def _wide(docs: DataFrame, sigs: DataFrame, members: DataFrame, words: int) -> DataFrame:
     """doc_id, n_shingles and wide signature of the members of buckets."""
 
@@ -157,9 +164,9 @@ def _wide(docs: DataFrame, sigs: DataFrame, members: DataFrame, words: int) -> D
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.binary())], names=["doc_id", "sig"])
 
     ids = members.select("doc_id").distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
+    texts = _holding(docs, staged(ids, "wide-ids"))
     wide = texts.mapInArrow(run, "doc_id long, sig binary").dropDuplicates(["doc_id"])
-    return staged(wide.join(sigs.select("doc_id", "n_shingles"), "doc_id"), "wide-signatures")
+    return staged(wide.join(sigs.select("doc_id", "n_shingles", "bands"), "doc_id"), "wide-signatures")
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int, words: int) -> DataFrame | None:
@@ -174,7 +181,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int, words: int) -> D
             got = [shingles(t.as_py(), words).tobytes() for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.binary())], names=["doc_id", "set"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
+    texts = _holding(docs, ids)
     full = staged(texts.mapInArrow(sets, "doc_id long, set binary"), "near-sets")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,7 +274,7 @@ def _across(mixed: DataFrame, sigs: DataFrame, percent: int, closest: int | None
     block = F.pmod(F.xxhash64("doc_id", "band"), F.col("blocks")).cast("int")
     rows = rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select(
-        "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "component", "sig", "n_shingles"
+        "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "component", "sig", "n_shingles", "bands"
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,6 +286,8 @@ def _across(mixed: DataFrame, sigs: DataFrame, percent: int, closest: int | None
             t = pa.Table.from_batches(held)
             ids, comp, block, n = (t.column(c).to_numpy() for c in ("doc_id", "component", "block", "n_shingles"))
             sig = _rows(t.column("sig"))
+            bands = t.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+            before = bands[:, : int(np.argmax(bands[0] == key[0]))]  # a pair is compared in the first band it shares
             i, j = key[1:]
             for at in range(len(ids)):
                 ok = (comp != comp[at]) & (100 * np.minimum(n, n[at]) >= percent * np.maximum(n, n[at]))
@@ -287,6 +296,7 @@ def _across(mixed: DataFrame, sigs: DataFrame, percent: int, closest: int | None
                 elif i != j:
                     ok &= block != block[at] if closest or block[at] == i else False
                 where = np.flatnonzero(ok)
+                where = where[~(before[where] == before[at]).any(axis=1)]
                 if len(where):
                     near = estimates(sig[at], sig[where])
                     where, near = where[good := near >= WIDE_ESTIMATE - (80 - percent) / 100], near[good]
@@ -331,7 +341,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = SHINGL
         F.min_by(F.struct("n_shingles", "sig", "bands"), "doc_id").alias("x"), F.min("doc_id").alias("doc_id")
     )
     reps = staged(firsts.select("doc_id", "x.*"), "minhash-sets")
-    sigs = reps.select("doc_id", "n_shingles", "sig")
+    sigs = reps.select("doc_id", "n_shingles", "sig", "bands")
     postings = reps.select("doc_id", F.explode("bands").alias("band"))
     leaders = postings.groupBy("band").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).where("n > 1")
     postings = staged(postings.join(leaders, "band").select("band", "doc_id", "a"), "postings")
