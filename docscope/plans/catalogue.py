@@ -10,6 +10,7 @@ from docscope.operators import papers as P
 from docscope.operators import runs as R
 from docscope.operators import scoring as S
 
+from . import content
 from . import views as V
 
 POINTS = {"traceable": 2, "partially_traceable": 1, "missing": 0}
@@ -255,3 +256,6 @@ SQL = {
     "task_throughput_tumbling": V.with_views("SELECT date_trunc('hour', ts) AS start, count(*) AS n, count_if(state='done') AS done, count_if(state='failed') AS failed FROM v_tasks GROUP BY 1", "tasks"),
     "latest_state": V.with_views("SELECT publisher, state, ts FROM (SELECT *, row_number() OVER (PARTITION BY publisher ORDER BY ts DESC, task_id DESC) AS r FROM v_tasks) WHERE r=1", "tasks"),
 }
+
+QUERIES |= content.QUERIES
+SQL |= content.SQL
