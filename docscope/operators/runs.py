@@ -47,3 +47,10 @@ def latest_state(tasks: DataFrame, key: str) -> DataFrame:
     """The last state of each key: a queue read as a log of transitions."""
     w = Window.partitionBy(key).orderBy(F.desc("ts"), F.desc("task_id"))
     return tasks.withColumn("r", F.row_number().over(w)).where("r = 1").select(key, "state", "ts")
+
+
+def stalled(tasks: DataFrame, minutes: int = 15) -> DataFrame:
+    """Tasks that were still in progress so many minutes before the last event; none of an empty table."""
+    end = tasks.agg(F.max("ts")).first()[0]
+    limit = F.lit(end).cast("timestamp") - F.expr(f"interval {int(minutes)} minutes")
+    return tasks.where((F.col("state") == "in_progress") & (F.col("ts") < limit)).select("task_id", F.col("ts").alias("claimed"))

@@ -119,6 +119,7 @@ QUERIES = {
     "run_summary": lambda s, d: R.run_summary(V.tasks(s, d)),
     "task_throughput_tumbling": lambda s, d: R.throughput(V.tasks(s, d)),
     "latest_state": lambda s, d: R.latest_state(V.tasks(s, d), "publisher"),
+    "stalled_tasks": lambda s, d: R.stalled(V.tasks(s, d)),
 }
 
 _ENTITY = "CASE verdict WHEN 'explicit' THEN 1.0::DOUBLE WHEN 'implied' THEN 0.5::DOUBLE WHEN 'absent' THEN 0.0::DOUBLE END"
@@ -257,5 +258,8 @@ SQL = {
     "latest_state": V.with_views("SELECT publisher, state, ts FROM (SELECT *, row_number() OVER (PARTITION BY publisher ORDER BY ts DESC, task_id DESC) AS r FROM v_tasks) WHERE r=1", "tasks"),
 }
 
+SQL["stalled_tasks"] = V.with_views(
+    "SELECT task_id, ts AS claimed FROM v_tasks WHERE state='in_progress' AND ts < (SELECT max(ts) FROM v_tasks) - INTERVAL 15 MINUTE", "tasks"
+)
 QUERIES |= content.QUERIES
 SQL |= content.SQL

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from docscope.operators.runs import throughput
 
@@ -23,3 +27,34 @@ def run_available(df: DataFrame, name: str, checkpoint: str, mode: str = "comple
     query = df.writeStream.format("memory").queryName(name).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
     query.awaitTermination()
     return df.sparkSession.table(name).select(*(F.col(c) for c in df.columns))
+
+
+def stream_stalls(tasks: DataFrame, minutes: int = 15, late: str = "2 hours") -> DataFrame:
+    """task_id, claimed: one warning for each claim that is still open after so many minutes of event time.
+
+    The last event of a task in a batch counts, a repeated claim keeps its first time, and any other state closes it.
+    A warning comes when the watermark passes the limit; the state of a task is dropped when it is closed or warned about.
+    """
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        claimed = state.get[0] if state.exists else None
+        if not state.hasTimedOut:
+            last = max(((r.ts, r.state) for f in frames for r in f.itertuples()), default=(None, None))
+            if last[1] != "in_progress":
+                if state.exists:
+                    state.remove()
+                return
+            claimed = claimed if claimed is not None else int(last[0].value // 1_000_000)
+            due = claimed + minutes * 60_000
+            if due > state.getCurrentWatermarkMs():
+                state.update((claimed,))
+                state.setTimeoutTimestamp(due)
+                return
+        if state.exists:
+            state.remove()
+        yield pd.DataFrame({"task_id": [key[0]], "claimed": [pd.Timestamp(claimed, unit="ms")]})
+
+    known = tasks.where("task_id is not null and ts is not null").withWatermark("ts", late).select("task_id", "state", "ts")
+    return known.groupBy("task_id").applyInPandasWithState(
+        run, "task_id long, claimed timestamp", "claimed long", "append", GroupStateTimeout.EventTimeTimeout
+    )
