@@ -88,3 +88,52 @@ def overall(*statuses: Column) -> Column:
     """The worst of some statuses."""
     all_ = F.array(*statuses)
     return F.when(F.array_contains(all_, "failed"), "failed").otherwise(review(F.array_contains(all_, "needs_review")))
+
+
+# What counts as a data line, as prose, and as text that is not a table's.
+DATA_WORDS = r"(?i)\b(?:yes|no|linear fit|control|treated|untreated|mean|max|min|sd|cv|rate|grade)\b"
+PROSE_VERBS = r"(?i)\b(?:is|are|was|were|has|have|had|show|shows|showed|indicates?|suggests?|observed|found)\b"
+FOOTER = r"(?i)\b(?:ScienceDirect|Elsevier|journal homepage|Contents lists available|doi\.org|creativecommons|Published by|Accepted|Received|Available online)\b"
+NOT_A_TABLE = r"(?i)\b(?:Equation|Eqs?\.\s*\(|Calculation indexes)\b"
+NUMERIC = r"[0-9%.,+\-–—/()<>±=×:]"
+HARD_REASONS = ("empty_table_body", "too_few_table_lines", "possible_prose_leakage", "equation_or_paragraph_leakage")
+
+
+def numeric_ratio(line: Column) -> Column:
+    return F.regexp_count(line, F.lit(NUMERIC)) / F.greatest(F.length(line), F.lit(1))
+
+
+def is_data_line(line: Column) -> Column:
+    """Digits and signs, or two to ten words without a full stop, or a word that tables use."""
+    return (numeric_ratio(line) >= 0.10) | (F.size(F.split(line, r"\s+")).between(2, 10) & ~line.endswith(".")) | line.rlike(DATA_WORDS)
+
+
+def is_prose_line(line: Column) -> Column:
+    words = F.regexp_count(line, F.lit("[A-Za-z]{3,}"))
+    return (F.length(line) >= 45) & (numeric_ratio(line) < 0.18) & (words >= 8) & line.rlike(PROSE_VERBS)
+
+
+def table_quality(body: Column, caption: Column) -> Column:
+    """score, needs_review and sorted reasons of a recovered table; a null body or caption counts as empty."""
+    plain = F.translate(F.coalesce(body, F.lit("")), "\u00a0−–—", " ---")
+    plain = F.trim(F.regexp_replace(F.regexp_replace(plain, r"[ \t]+", " "), r" *\n *", "\n"))
+    lines = F.filter(F.transform(F.split(plain, "\n"), F.trim), lambda x: x.rlike(r"\S"))
+    n, data, prose = F.size(lines), F.size(F.filter(lines, is_data_line)), F.size(F.filter(lines, is_prose_line))
+    empty = n == 0
+    short = ~empty & (n < 3)
+    costs = {
+        "missing_caption": (F.trim(F.coalesce(caption, F.lit(""))) == "", 0.10),
+        "empty_table_body": (empty, 0.85),
+        "too_few_table_lines": (short, 0.35),
+        "very_short_recovered_table": (~empty & ~short & (n <= 6) & (F.length(plain) < 140), 0.30),
+        "few_data_like_lines": (~empty & (data < 2), 0.25),
+        "possible_prose_leakage": ((prose > 0) & (prose >= F.greatest(F.lit(2), data)), 0.25),
+        "header_footer_leakage": (plain.rlike(FOOTER), 0.20),
+        "equation_or_paragraph_leakage": (plain.rlike(NOT_A_TABLE), 0.20),
+        "nested_table_caption_in_body": (plain.rlike(r"(?i)\bTable\s+\d+\b"), 0.10),
+    }
+    lost = sum(F.when(c, F.lit(v)).otherwise(0.0) for c, v in costs.values())
+    score = F.round(F.greatest(F.lit(0.0), F.lit(0.85) - lost), 4)
+    reasons = F.sort_array(F.array_compact(F.array(*(F.when(c, F.lit(k)) for k, (c, _) in costs.items()))))
+    hard = F.arrays_overlap(reasons, F.array(*map(F.lit, HARD_REASONS)))
+    return F.struct(score.alias("score"), ((score < 0.70) | hard).alias("needs_review"), reasons.alias("reasons"))

@@ -68,6 +68,12 @@ def _abstracts(spark: SparkSession, d: str) -> DataFrame:
     return V.table(spark, d, "documents").select("doc_id", F.md5(got).alias("abstract_md5"))
 
 
+def _table_quality(spark: SparkSession, d: str) -> DataFrame:
+    """The texts of documents judged as if they were table bodies."""
+    q = R.table_quality(F.col("text"), F.when(F.col("doc_id") % 2 == 0, F.col("source")))
+    return V.table(spark, d, "documents").select("doc_id", q.alias("q")).select("doc_id", "q.score", "q.needs_review", F.array_join("q.reasons", ",").alias("reasons"))
+
+
 def _mean_relations(spark: SparkSession, d: str) -> DataFrame:
     a, b, c = (F.col(n) for n in "abc")
     c = F.when(F.col("doc_id") % 4 != 0, c)
@@ -92,6 +98,7 @@ QUERIES = {
     "glyph_remap": lambda s, d: _glyph_text(s, d).select("doc_id", G.remap_glyphs(F.col("raw")).alias("plain")),
     "unmapped_glyphs": lambda s, d: G.unmapped_glyphs(_glyph_text(s, d), "doc_id", "raw"),
     "abstract_fallback": _abstracts,
+    "table_quality": _table_quality,
     "mean_relation": _mean_relations,
     "pearson_level": lambda s, d: V.levels(s, d).agg(F.round(F.corr("a", "b"), 6).alias("pearson")),
     "tei_sections": _tei,

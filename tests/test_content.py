@@ -44,6 +44,22 @@ def test_rules(spark):
     assert got == ["d", "e", "", ""]
 
 
+def test_table_quality(spark):
+    good = "\n".join(f"sample {i} 1.5 2.5 control treated measured value group label" for i in range(8))
+    prose = "\n".join(["the measured samples show that values were found in all of the groups."] * 4)
+    cases = {
+        good: ("c", 0.85, False, []),
+        "": ("", 0.0, True, ["empty_table_body", "missing_caption"]),
+        "a 1\nb 2": ("c", 0.5, True, ["too_few_table_lines"]),
+        "a 1\nb 2\nc 3": (None, 0.45, True, ["missing_caption", "very_short_recovered_table"]),
+        prose: ("c", 0.35, True, ["few_data_like_lines", "possible_prose_leakage"]),
+        good + "\nElsevier Table 3": ("c", 0.55, True, ["header_footer_leakage", "nested_table_caption_in_body"]),
+    }
+    df = spark.createDataFrame([(i, b, c[0]) for i, (b, c) in enumerate(cases.items())], "i int, b string, c string").orderBy("i")
+    got = [r.q for r in df.select(R.table_quality(F.col("b"), F.col("c")).alias("q")).collect()]
+    assert [(q.score, q.needs_review, q.reasons) for q in got] == [c[1:] for c in cases.values()]
+
+
 def test_tei(spark):
     df = spark.createDataFrame([(1, TEI), (2, "<TEI>"), (3, None), (4, "")], "doc_id long, xml string")
     parsed = tei.parse_tei(df).orderBy("doc_id").collect()
