@@ -6,10 +6,10 @@ for each) is computed where the passages are; only matrices of vocabulary by ran
 cosine with an item passes a threshold are candidates, and candidates are checked on the text: longest common
 subsequence of words, and for looser matches the item's answer.
 
-The vocabulary is that of the benchmark, without terms of over ``MAX_SHARE`` of all documents (but each item keeps
-its ``LEAST_TERMS`` rarest): other terms add nothing to a product with an item. Passages with fewer than
-``LEAST_SHARED`` different terms of it are no candidates; of an item, some passage holds nearly all. Items are handled in blocks of ``ITEM_BLOCK``, each with a space of its own, so
-matrices have a bound whatever the benchmark's size.
+The vocabulary is that of the benchmark, all of it: other terms add nothing to a product with an item, and common
+terms weigh little but are what is left of an item whose rarer words were replaced. Every passage with a term of it
+is compared. Items are handled in blocks of ``ITEM_BLOCK``, each with a space of its own, so matrices have a bound
+whatever the benchmark's size.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import staged, table
 
 HALF = 32  #: a passage has two halves and shares each with a neighbour
-MAX_SHARE, LEAST_TERMS, LEAST_SHARED = 0.005, 6, 3
+CHUNK = 64  #: passages that are multiplied at a time, so that what they make stays in the cache
 ITEM_BLOCK, EXTRA_RANK, OVERSAMPLE = 256, 32, 16
 COSINE, COPY, PARAPHRASE, ANSWER = 0.12, 0.75, 0.6, 0.7
 BROADCAST_ROWS = 1_000_000
@@ -52,11 +52,9 @@ class Terms:
     def __init__(self, vocabulary: dict[str, int]) -> None:
         self.vocabulary, self.words = vocabulary, frozenset(vocabulary)
 
-    def passages(self, text: str | None, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Passage, term and count of each term in each passage, of a text with ``least`` terms or more."""
+    def passages(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Passage, term and count of each term in each passage."""
         raw = words_of(text)
-        if len(self.words.intersection(raw)) < least:
-            return (np.empty(0, np.int64),) * 3
         ids = np.fromiter(map(self.vocabulary.get, raw, repeat(-1)), np.int64, len(raw))
         at = np.flatnonzero(ids >= 0)
         last = max(0, (len(raw) - 1) // HALF - 1)  # passages 0 to last; passage p has halves p and p + 1
@@ -114,27 +112,35 @@ def _counts(docs: DataFrame, vocabulary: dict[str, int]) -> tuple[np.ndarray, in
     return df, total
 
 
-def _sparse(docs: DataFrame, vocabulary: dict[str, int], weight: np.ndarray, least: int) -> DataFrame:
-    """doc_id, passage, terms and unit-free TF-IDF values of passages with ``least`` different kept terms or more."""
+def _sparse(docs: DataFrame, vocabulary: dict[str, int], weight: np.ndarray) -> DataFrame:
+    """doc_id, passage, terms and unit-free TF-IDF values of passages with a term of the vocabulary."""
     shared = docs.sparkSession.sparkContext.broadcast((vocabulary, weight))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, weight = shared.value
-        kept = [w for w, i in vocabulary.items() if weight[i] > 0]
-        back = np.array([vocabulary[w] for w in kept])
-        terms = Terms({w: k for k, w in enumerate(kept)})
+        terms = Terms(vocabulary)
+
+        def batch(out: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+            doc_id, passage, size, t, v = (np.concatenate(c) for c in zip(*out, strict=True))
+            ends = pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (t, v)]
+            return pa.RecordBatch.from_arrays([pa.array(doc_id), pa.array(passage), *lists], names=["doc_id", "passage", "terms", "vals"])
+
         for b in batches:
-            out: list[tuple] = []
+            out: list[tuple[np.ndarray, ...]] = []
+            held = 0
             for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
-                p, t, n = terms.passages(text.as_py(), least)
-                for rows in np.split(np.arange(len(p)), np.flatnonzero(np.diff(p)) + 1) if len(p) else []:
-                    if len(rows) >= least:
-                        at = back[t[rows]]
-                        out.append((doc_id, int(p[rows[0]]), at.astype(np.int32), ((1 + np.log(n[rows])) * weight[at]).astype(np.float32)))
+                p, t, n = terms.passages(text.as_py())
+                if not len(p):
+                    continue
+                first = np.flatnonzero(np.diff(p, prepend=-1))
+                vals = ((1 + np.log(n)) * weight[t]).astype(np.float32)
+                out.append((np.full(len(first), doc_id, np.int64), p[first], np.diff(first, append=len(p)), t.astype(np.int32), vals))
+                if (held := held + len(p)) > 1_000_000:
+                    yield batch(out)
+                    out, held = [], 0
             if out:
-                kinds = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.float32()))
-                columns = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "passage", "terms", "vals"])
+                yield batch(out)
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, passage long, terms array<int>, vals array<float>")
 
@@ -146,9 +152,14 @@ def _flat(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _projected(b: pa.RecordBatch, basis: np.ndarray) -> np.ndarray:
-    """Rows of the sparse batch times the basis, a few thousand entries at a time."""
+    """Rows of the sparse batch times the basis, CHUNK rows at a time."""
     t, v, starts = _flat(b)
-    return np.add.reduceat(basis[t] * v[:, None], starts, axis=0)
+    ends = np.append(starts, len(t))
+    y = np.empty((b.num_rows, basis.shape[1]), np.float32)
+    for at in range(0, b.num_rows, CHUNK):
+        lo, hi = ends[at], ends[min(at + CHUNK, b.num_rows)]
+        np.add.reduceat(basis[t[lo:hi]] * v[lo:hi, None], starts[at : at + CHUNK] - lo, axis=0, out=y[at : at + CHUNK])
+    return y
 
 
 def _summed(rows: DataFrame, shape: tuple[int, int], basis: np.ndarray, small: bool) -> np.ndarray:
@@ -166,7 +177,12 @@ def _summed(rows: DataFrame, shape: tuple[int, int], basis: np.ndarray, small: b
                 else:
                     t, v, _ = _flat(b)
                     each = np.repeat(np.arange(b.num_rows), b.column("terms").value_lengths().to_numpy())
-                    np.add.at(total, t, (y[each] * v[:, None]).astype(np.float64))
+                    order = np.argsort(t, kind="stable")
+                    first = np.flatnonzero(np.diff(t[order], prepend=-1))
+                    for k in range(0, len(first), 4 * CHUNK):  # each term's rows are summed, some terms at a time
+                        lo, hi = first[k], first[k + 4 * CHUNK] if k + 4 * CHUNK < len(first) else len(order)
+                        own, at_term = order[lo:hi], first[k : k + 4 * CHUNK]
+                        total[t[order[at_term]]] += np.add.reduceat(y[each[own]] * v[own, None], at_term - lo, axis=0)
         if total.any():
             yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.float64).tobytes()], pa.binary())], names=["part"])
 
@@ -192,16 +208,17 @@ def _candidates(rows: DataFrame, basis: np.ndarray, items: np.ndarray, ids: list
     """(doc_id, passage, item_id, cosine) of passages near an item in the latent space."""
     latent = items @ basis
     latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
-    shared = rows.sparkSession.sparkContext.broadcast((basis, latent.T.astype(np.float32), np.array(ids, np.int64)))
+    # A passage is projected on the space and then on the items: both as one matrix of vocabulary by items.
+    shared = rows.sparkSession.sparkContext.broadcast(((basis @ latent.T).astype(np.float32), np.array(ids, np.int64)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        basis, latent, ids = shared.value
+        onto, ids = shared.value
         for big in batches:
             for at in range(0, big.num_rows, 512):
                 b = big.slice(at, 512)
                 _, v, starts = _flat(b)
                 norm = np.sqrt(np.add.reduceat(v.astype(np.float64) ** 2, starts))
-                near = _projected(b, basis) @ latent / norm[:, None]
+                near = _projected(b, onto) / norm[:, None]
                 row, item = np.nonzero(near >= COSINE)
                 if len(row):
                     columns = [b.column("doc_id").take(pa.array(row)), b.column("passage").take(pa.array(row)), pa.array(ids[item])]
@@ -230,6 +247,9 @@ def _checked(docs: DataFrame, candidates: DataFrame, items: dict[int, tuple[list
                     words, answer = shared.value[f["item_id"]]
                     lo = max(0, f["passage"] * HALF - len(words))
                     region = raw[lo : (f["passage"] + 2) * HALF + len(words)]
+                    # No subsequence is longer than the item's words that are there at all.
+                    if sum(map(set(region).__contains__, words)) < PARAPHRASE * len(words):
+                        continue
                     part = lcs(words, region) / len(words)
                     kind = "copy" if part >= COPY else None
                     if not kind and part >= PARAPHRASE and answer and lcs(answer, region) >= ANSWER * len(answer):
@@ -252,18 +272,12 @@ def _block(docs: DataFrame, items: list[tuple[int, str]]) -> DataFrame | None:
         return None
     vocabulary = {w: k for k, w in enumerate(sorted({w for ws in words.values() for w in ws}))}
     df, total = _counts(docs, vocabulary)
-    kept = df <= max(MAX_SHARE * total, 1)
-    for i in ids:  # an item of common words keeps its rarest
-        own = sorted({vocabulary[w] for w in words[i]}, key=lambda k: df[k])
-        if kept[own].sum() < LEAST_TERMS:
-            kept[own[:LEAST_TERMS]] = True
-    weight = np.where(kept, np.log((total + 1) / (df + 0.5)).clip(0.01), 0.0)
+    weight = np.log((total + 1) / (df + 0.5)).clip(0.01)
     matrix = np.zeros((len(ids), len(vocabulary)), np.float32)
     for r, i in enumerate(ids):
         t, n = np.unique([vocabulary[w] for w in words[i]], return_counts=True)
         matrix[r, t] = (1 + np.log(n)) * weight[t]
-    least = int(np.clip((matrix > 0).sum(axis=1).min() - 1, 1, LEAST_SHARED))
-    rows = staged(_sparse(docs, vocabulary, weight, least), "passages")
+    rows = staged(_sparse(docs, vocabulary, weight), "passages")
     basis = latent_basis(rows, matrix, min(len(vocabulary), len(ids) + EXTRA_RANK))
     text = dict(items)
     checked = {i: (words[i], answer_of(text[i])) for i in ids}

@@ -189,6 +189,20 @@ def test_decontamination(spark, small):
     assert decontamination.lcs(list("abcbdab"), list("bdcaba")) == 4
 
 
+def test_decontamination_of_edited_items(spark):
+    """Items whose rarest quarter of words is replaced are copies still, for all that is left of them is common."""
+    common = [f"c{i}" for i in range(60)]
+    items = [(k, [common[(7 * k + i) % 60] if i % 4 else f"rare{k}x{i}" for i in range(24)]) for k in range(6)]
+    draw = np.random.default_rng(3)
+    filler = lambda k: [f"f{k}w{i}" if i % 3 else common[j] for i, j in enumerate(draw.integers(0, 60, 90))]
+    edited = lambda ws: [f"new{w}" if w.startswith("rare") else w for w in ws]
+    rows = [(k, [*filler(k)[:40], *edited(ws), *filler(k)[40:]]) for k, ws in items] + [(100 + k, filler(k)) for k in range(200)]
+    docs = spark.createDataFrame([(k, " ".join(ws)) for k, ws in rows], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(ws)) for k, ws in items], "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.kind) for r in decontamination.leaks(docs, bench).collect()}
+    assert {(k, k, "copy") for k, _ in items} <= got and all(d < 100 for d, _, _ in got)
+
+
 @pytest.mark.parametrize("which", ["edge", "docs"])
 def test_quality(request, which):
     df = request.getfixturevalue(which)
