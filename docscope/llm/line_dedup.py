@@ -5,7 +5,9 @@ wherever it stands. A line of LONG_WORDS words or more is a chunk of its own. Ch
 the corpus are compared byte by byte with their first occurrence (the smallest doc_id, then line); equal ones are
 removed, and with them the lines before and after that also stand beside the first occurrence.
 
-Several cuttings with different seeds find runs that one cutting splits badly.
+Several cuttings with different seeds find runs that one cutting splits badly. Chunks of few words are not removed
+by themselves; instead a chunk of MIN_WORDS words is also taken from every short line on, so that a repeated passage
+of short lines has chunks within it wherever the cuts fall.
 """
 
 from __future__ import annotations
@@ -28,6 +30,14 @@ BROADCAST_ROWS = 1_000_000
 _PRIME = 0x100000001B3
 
 
+def _reach(words: list[int], at: int, step: int = 1) -> int:
+    """How many lines from ``at`` on hold MIN_WORDS words in two lines, or end beside a long line or the text."""
+    n = held = full = 0
+    while 0 <= (i := at + step * n) < len(words) and words[i] < LONG_WORDS and (held < MIN_WORDS or full < 2):
+        held, full, n = held + words[i], full + (words[i] > 0), n + 1
+    return n
+
+
 def chunks(lines: list[bytes]) -> list[tuple[int, int]]:
     """(first line, number of lines) of the chunks of all cuttings that can be removed."""
     words = [len(x.split()) for x in lines]
@@ -46,6 +56,9 @@ def chunks(lines: list[bytes]) -> list[tuple[int, int]]:
             if alone or xxhash.xxh3_64_intdigest(rolled.to_bytes(8, "little"), seed) % DIVISOR == 0 or i + 1 == len(lines):
                 found.add((start, i + 1 - start))
                 start = i + 1
+    for i in range(len(lines)):
+        if 0 < words[i] < LONG_WORDS and sum(run := words[i : i + _reach(words, i)]) >= MIN_WORDS and sum(map(bool, run)) > 1:
+            found.add((i, len(run)))
     return sorted((s, n) for s, n in found if (w := sum(words[s : s + n])) >= (MIN_WORDS if n > 1 else LONG_WORDS) and w)
 
 
@@ -72,8 +85,8 @@ def _found(docs: DataFrame) -> DataFrame:
 def _texts(docs: DataFrame) -> DataFrame:
     """The chunks again with their bytes, and the lines before (nearest first) and after them.
 
-    As many lines are given on a side as reach past the neighbouring chunk: what is farther off is in a chunk of
-    its own or beside one.
+    As many short lines are given on a side as make a chunk: what is farther off is in a chunk of its own or beside
+    one.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,13 +94,11 @@ def _texts(docs: DataFrame) -> DataFrame:
             rows = []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 lines = (text.as_py() or "").encode().split(b"\n")
-                got = chunks(lines)
-                ends = sorted({0, len(lines), *(s for s, _ in got), *(s + n for s, n in got)})
-                for start, n in got:
+                words = [len(x.split()) for x in lines]
+                for start, n in chunks(lines):
                     body = b"\n".join(lines[start : start + n])
                     h = xxhash.xxh3_128_intdigest(body)
-                    lo = max((e for e in ends if e < start), default=0)
-                    hi = min((e for e in ends if e > start + n), default=len(lines))
+                    lo, hi = start - _reach(words, start - 1, -1), start + n + _reach(words, start + n)
                     rows.append((h >> 64, h & (1 << 64) - 1, doc_id, start, n, body, lines[lo:start][::-1], lines[start + n : hi]))
             for at in range(0, len(rows), 2000):
                 columns = list(zip(*rows[at : at + 2000], strict=True))

@@ -175,6 +175,22 @@ def test_line_dedup(spark):
         assert got[k].text == "\n".join(own(k)) and got[k].removed_lines == 2
 
 
+def test_line_dedup_of_short_lines(spark):
+    """A repeated passage of short lines among short lines goes whole, wherever the cuts fall."""
+    rows, own = [], {}
+    for shape, (n, words) in enumerate([(5, 12), (7, 8), (4, 15), (3, 20), (13, 4), (17, 3)]):
+        for trial in range(6):
+            passage = [" ".join(f"s{shape}t{trial}p{i}w{j}" for j in range(words)) for i in range(n)]
+            for copy in range(2):
+                k = len(rows)
+                own[k] = [" ".join(f"d{k}x{i}w{j}" for j in range(words)) for i in range(8)]
+                rows.append((k, "\n".join([*own[k][:4], *passage, *own[k][4:]])))
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    left = {r.doc_id: r.text for r in got}
+    for k, text in rows:
+        assert left[k] == ("\n".join(own[k]) if k % 2 else text)
+
+
 def test_decontamination(spark, small):
     item = "when the quick auditor verified seven sealed ledgers before noon nobody expected the hidden balance to reveal. The answer was forty silver coins"
     noise = lambda k, n: " ".join(f"z{k}y{i}" for i in range(n))
