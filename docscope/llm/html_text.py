@@ -198,6 +198,12 @@ def main_text(page: str | None, threshold: float = 0.5, share: float = 0.8) -> s
     root = max(named or [e for e in roots if e.tag in BLOCK or not e.parent], key=lambda e: e.depth)
     while root.parent and root.tag in HEADINGS | {"p", "li", "td", "tr", "pre", "blockquote"}:
         root = root.parent
+    # Nearly all is not all: the outermost article or main around it, else all that holds more of the content text.
+    if around := [x for x in _up(root) if x.tag in ("article", "main")]:
+        root = around[-1]
+    else:
+        while root.parent and held[root.parent] > held[root]:
+            root = root.parent
     roots = {root}
     if named:  # further articles beside the one that holds most
         roots |= {e for e in held if e.tag == "article" and e.depth == root.depth and e.parent is root.parent}

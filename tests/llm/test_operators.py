@@ -285,6 +285,16 @@ def test_html():
     assert [html_text.main_text(x) for x in (None, "", "<", "<p", "</p></b>")][:2] == ["", ""]
 
 
+def test_html_nested():
+    """A title, a lead and a last section beside the element that holds most of the text are kept."""
+    long, lead = "A sentence of the article, with a comma. " * 20, "The lead says, in short, what follows below here."
+    got = html_text.main_text(f"<body><main><h1>Title</h1><p>{lead}</p><div class=content><p>{long}</p></div></main></body>")
+    assert got == f"Title\n{lead}\n{long.strip()}"
+    last = "A last section, also of the article, with some text. " * 3
+    got = html_text.main_text(f"<body><div><h1>Title</h1><section><p>{long}</p></section><section><p>{last}</p></section></div></body>")
+    assert got == f"Title\n{long.strip()}\n{last.strip()}"
+
+
 def test_html_pages(spark, small):
     for r in html_text.extract(table(spark, small, "pages")).join(table(spark, small, "pages").select("page_id", "html"), "page_id").collect():
         article = re.search(r"(?s)<article>(.*)</article>", r.html)[1].replace("<br>", " ")
