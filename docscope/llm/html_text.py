@@ -40,6 +40,12 @@ MARKS = frozenset(
 )
 #: With these words an element is the main text, whatever else its names say.
 MAIN = frozenset("article articlebody articlecontent entry post posting story content main body maintext text page wrapper container".split())
+#: Of these, words that also name the look of the main text or of its surroundings; they don't outweigh MARKS.
+LOOKS = frozenset("body page wrapper container text".split())
+#: Of MARKS, words that parts of an article have too: within one, the path's ratio decides.
+DOUBTFUL = frozenset("discussion related notice notices alert side tags form social rail banner skip".split())
+#: The state of an element, not what it is.
+STATE = re.compile(r"(?:has|no|with|without)[-_]", re.I)
 RAW = "script|style|noscript|template|iframe|svg|textarea|title|xmp"
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -69,29 +75,33 @@ CLOSES = {
 
 
 class Element:
-    __slots__ = ("tag", "path", "parent", "off", "depth", "body")
+    __slots__ = ("tag", "path", "parent", "off", "depth", "body", "doubt")
 
-    def __init__(self, tag: str, parent: Element | None, off: bool, body: bool = False) -> None:
-        self.tag, self.parent, self.off, self.body = tag, parent, off, body
+    def __init__(self, tag: str, parent: Element | None, off: bool, body: bool = False, doubt: bool = False) -> None:
+        self.tag, self.parent, self.off, self.body, self.doubt = tag, parent, off, body, doubt
         self.path = f"{parent.path}/{tag}" if parent else tag
         self.depth = parent.depth + 1 if parent else 0
 
 
-def _marked(attrs: str) -> tuple[bool, bool]:
-    """Whether attributes mark an element as beside the main text, and as the main text."""
-    off = body = False
+def _marked(attrs: str) -> tuple[bool, bool, bool]:
+    """Whether attributes mark an element as beside the main text, as the main text, and as beside it in doubt only."""
+    off = body = sure = main = False
     for name, value in ATTR.findall(attrs):
         name, value = name.lower(), html.unescape(value.strip("\"'"))
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
-            return True, False
+            return True, False, False
         if name in ("class", "id", "role", "itemprop"):
             for one in value.split():
+                if STATE.match(one):
+                    continue
                 words = {w.lower() for w in WORD.findall(one)}
                 if words & MARKS:
                     off = True
+                    sure |= not words & MARKS <= DOUBTFUL
                 elif words & MAIN:
                     body = True
-    return off, body
+                    main |= not words & MAIN <= LOOKS
+    return off and not main, body, off and not sure
 
 
 def text_nodes(page: str) -> list[tuple[Element, int, str]]:
@@ -126,12 +136,14 @@ def text_nodes(page: str) -> list[tuple[Element, int, str]]:
                 e = e.parent
             if found:
                 at = found.parent
-            off, body = _marked(m["attrs"]) if m["attrs"] else (False, False)
+            off, body, doubt = _marked(m["attrs"]) if m["attrs"] else (False, False, False)
+            if doubt := off and doubt and any(x.body for x in _up(at)):
+                off = False
             off = at.off or tag in DROPPED or off and tag not in ("html", "body", "main", "article")
             if tag == "header" and not off:
                 off = not any(x.tag in ("article", "main") for x in _up(at))
             if not m["attrs"].endswith("/") or tag in BLOCK:
-                at = Element(tag, at, off, body or tag in ("article", "main"))
+                at = Element(tag, at, off, body or tag in ("article", "main"), at.doubt or doubt)
     return nodes
 
 
@@ -213,7 +225,7 @@ def main_text(page: str | None, threshold: float = 0.5, share: float = 0.8) -> s
     for e, block, text in nodes:
         if e not in inside:
             inside[e] = any(x in roots for x in _up(e))
-        if e.off or not inside[e] or _byline(e):
+        if e.off or not inside[e] or _byline(e) or e.doubt and e.path not in content:
             continue
         if block != last:
             blocks.append([])

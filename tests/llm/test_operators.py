@@ -295,6 +295,16 @@ def test_html_nested():
     assert got == f"Title\n{long.strip()}\n{last.strip()}"
 
 
+def test_html_marks():
+    """The main text is main text whatever else its names say; ambiguous names within it don't switch parts off."""
+    text = ("A sentence of the article, with a comma. " * 20).strip()
+    for names in ('class="content has-sidebar"', 'class="entry-content no-sidebar"', 'id=main class="with-sidebar"', 'class="sidebar-left" id=main'):
+        assert html_text.main_text(f"<body><div {names}><p>{text}</p></div></body>") == text
+    for part in ("<section id=discussion><p>{}</p></section>", '<div class="related-work"><p>{}</p></div>', "<p class=notice>{}</p>"):
+        assert html_text.main_text(f"<body><article><section><div><p>{text}</p></div></section>{part.format(text)}</article></body>") == f"{text}\n{text}"
+    assert html_text.main_text(f'<body><div id=main><p>{text}</p></div><div class="sidebar container"><p>{text}</p></div></body>') == text
+
+
 def test_html_pages(spark, small):
     for r in html_text.extract(table(spark, small, "pages")).join(table(spark, small, "pages").select("page_id", "html"), "page_id").collect():
         article = re.search(r"(?s)<article>(.*)</article>", r.html)[1].replace("<br>", " ")
