@@ -54,13 +54,35 @@ def imrad_summary(sections: DataFrame, order: tuple[str, ...]) -> DataFrame:
     )
 
 
+#: A qualifier, kind, prefix, separator, number and panel; the first label in a text counts.
+LABEL = (
+    r"(?iU)((?:supplement(?:ary|al)?|suppl?|supp|extended\s+data|appendix|online)\.?\s+)?"
+    r"\b(fig(?:ure)?s?|tab(?:le)?s?|sch(?:eme)?s?)\s*\.?\s*([SAE])?(\.?)(\d{1,3})([a-z])?(?![0-9])"
+)
+
+
+def parsed_label(label: str) -> Column:
+    """kind, prefix, number, panel, key and id of the first label in a column's text; null where there is none."""
+    c = F.col(label)
+    part = lambda i: F.regexp_extract(c, LABEL, i)
+    kind = F.when(part(2).rlike("(?i)^fig"), "figure").when(part(2).rlike("(?i)^tab"), "table").otherwise("scheme")
+    implied = F.when(part(1).rlike("(?i)^(supp|online)"), "S").when(part(1).rlike("(?i)^ext"), "E").when(part(1).rlike("(?i)^app"), "A").otherwise("")
+    prefix = F.when(part(3) != "", F.upper(part(3))).otherwise(implied)
+    number = part(5).cast("int").cast("string")
+    short = F.when(kind == "figure", "fig").otherwise(kind)
+    plain = F.concat(short, F.lit("_"), F.lpad(number, 2, "0"))
+    plain = F.when(F.length(number) > 2, F.concat(short, F.lit("_"), number)).otherwise(plain)
+    marked = F.concat(short, F.lit("_"), prefix, F.when(part(4) == ".", "_").otherwise(""), number)
+    found = F.struct(
+        kind.alias("kind"), prefix.alias("prefix"), number.alias("number"), F.lower(part(6)).alias("panel"),
+        F.concat_ws(":", kind, prefix, number).alias("key"), F.when(prefix == "", plain).otherwise(marked).alias("id"),
+    )
+    return F.when(c.rlike(LABEL), found)
+
+
 def figure_key(label: str) -> Column:
     """kind:prefix:number of a label column, the key under which labels are compared."""
-    pattern = r"(?i)\b(fig|figure|table|scheme)s?\.?\s*([A-Z])?\.?\s*(\d+)"
-    c = F.col(label)
-    kind = F.lower(F.regexp_extract(c, pattern, 1))
-    kind = F.when(kind == "fig", "figure").otherwise(kind)
-    return F.when(c.rlike(pattern), F.concat_ws(":", kind, F.upper(F.regexp_extract(c, pattern, 2)), F.regexp_extract(c, pattern, 3)))
+    return parsed_label(label)["key"]
 
 
 def asof_section(figures: DataFrame, sections: DataFrame) -> DataFrame:
