@@ -144,7 +144,7 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
 
 def removals(docs: DataFrame) -> DataFrame:
     """doc_id, spans: the runs of lines (start, n) of each document that occur earlier in the corpus."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
     found = staged(_found(docs), "line-chunks")
     place = F.struct("doc_id", "start")
     repeated = found.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("k")).where("k > 1")

@@ -175,6 +175,13 @@ def test_line_dedup(spark):
         assert got[k].text == "\n".join(own(k)) and got[k].removed_lines == 2
 
 
+def test_line_dedup_beside_null_ids(spark):
+    passage = " ".join(f"w{i}" for i in range(30))
+    docs = spark.createDataFrame([(None, passage), (1, f"one\n{passage}"), (2, f"two\n{passage}")], "doc_id long, text string")
+    left = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs).collect()}
+    assert left == {None: passage, 1: f"one\n{passage}", 2: "two"}
+
+
 def test_line_dedup_of_short_lines(spark):
     """A repeated passage of short lines among short lines goes whole, wherever the cuts fall."""
     rows, own = [], {}
