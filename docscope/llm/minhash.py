@@ -10,10 +10,12 @@ Documents with one set are one node. Three steps find every link that matters fo
 1. In each bucket (documents that agree in a band) all members are compared with the smallest. A group of n
    near copies costs n comparisons a band here, not n squared.
 2. Members of one bucket in different components after this are compared with each other by their signatures, in
-   blocks, inside a task; the ``CLOSEST`` of each member by estimate are confirmed.
+   blocks, inside a task; the ``CLOSEST`` of each member by estimate are confirmed. Members of the bucket's largest
+   component are compared with those outside it only.
 3. All pairs still in different components that the estimate leaves standing are confirmed.
 
-A link within a component that is found already is not needed. No bucket is capped.
+A link within a component that is found already is not needed. No bucket is capped. Joins by a leader, a band or a set
+that many rows share are dealt to several tasks.
 """
 
 from __future__ import annotations
@@ -26,57 +28,56 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import partitions, staged, table
+from .common import BROADCAST_ROWS, drop, partitions, ready, spread_join, staged, table
+from .words import mix, word_hashes
 
 BANDS, ROWS, SHINGLE, PERCENT = 22, 4, 4, 80
 HASHES = 128
 #: Candidates whose estimate is under this are dropped: 4.7 standard deviations below 0.8 with 128 hashes.
 ESTIMATE = 0.6
-BLOCK, CLOSEST, CLOSEST_ROUNDS = 1024, 2, 1
+BLOCK, CLOSEST, CLOSEST_ROUNDS = 4096, 2, 1
 #: Members of buckets with several components get wide signatures, whose estimates err by a third as much.
 WIDE, WIDE_ESTIMATE = 1024, 0.74
 #: Forests of so many links are solved by one task; larger ones by rounds of joins.
-FOREST_LINKS = 2_000_000
-BROADCAST_IDS = 1_000_000
+FOREST_LINKS = 300_000
+#: Rows of an Arrow batch that holds two full sets a row, and bytes of sets that a task gives at a time.
+SET_ROWS, SET_BYTES = 100, 4 << 20
 _ODD = np.random.default_rng(7).integers(1, 1 << 63, (2, HASHES), dtype=np.uint64) | np.uint64(1)
 _WIDE_ODD = np.random.default_rng(8).integers(1, 1 << 63, (2, WIDE), dtype=np.uint64) | np.uint64(1)
 FEATURES = "doc_id long, n_shingles long, set_a long, set_b long, sig binary, bands array<long>"
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-        x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(32))
-
-
-def shingles(text: str | None, words: int = SHINGLE, known: dict | None = None) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the shingles of a whole text; with fewer words, of the whole sequence.
+def shingle_sets(column: pa.Array, words: int = SHINGLE) -> Iterator[np.ndarray]:
+    """For each whole text the sorted distinct 64-bit hashes of its shingles; with fewer words, of the whole sequence.
 
     Words are runs of other bytes than ASCII white space, with A-Z lower-cased.
     """
-    ws = text.encode().lower().split() if text else []
-    if not ws:
-        return np.empty(0, np.uint64)
-    known = {} if known is None else known
-    h = np.array([known.get(w) or known.setdefault(w, xxhash.xxh3_64_intdigest(w)) for w in ws], np.uint64)
-    k = min(words, len(ws))
-    s = h[: len(h) - k + 1]
-    for i in range(1, k):
+
+    def joined(h: np.ndarray, k: int) -> np.ndarray:
+        s = h[: len(h) - k + 1]
         with np.errstate(over="ignore"):
-            s = _mix(s) + h[i : len(h) - k + 1 + i] * np.uint64(2 * i + 1)
-    return np.unique(_mix(s + np.uint64(k)))
+            for i in range(1, k):
+                s = mix(s) + h[i : len(h) - k + 1 + i] * np.uint64(2 * i + 1)
+        return mix(s + np.uint64(k))
+
+    for _, _, h, bounds in word_hashes(column):
+        every = joined(h, words) if len(h) >= words else None
+        for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            if hi - lo >= words:
+                yield np.unique(every[lo : hi - words + 1])
+            else:
+                yield joined(h[lo:hi], hi - lo) if hi > lo else np.empty(0, np.uint64)
 
 
-def signature(s: np.ndarray) -> tuple[bytes, list[int]]:
+def signature(s: np.ndarray) -> tuple[bytes, np.ndarray]:
     """The packed two low bits of each minimum, and the hash of each band of minima."""
     mixed = minima(s, _ODD)
     with np.errstate(over="ignore"):
         band = np.zeros(BANDS, np.uint64)
         for r in range(ROWS):
-            band = _mix(band * np.uint64(3) + mixed[r : BANDS * ROWS : ROWS])
-        band = _mix(band + np.arange(BANDS, dtype=np.uint64))
-    return packed(mixed), band.view(np.int64).tolist()
+            band = mix(band * np.uint64(3) + mixed[r : BANDS * ROWS : ROWS])
+        band = mix(band + np.arange(BANDS, dtype=np.uint64))
+    return packed(mixed), band.view(np.int64)
 
 
 def packed(mixed: np.ndarray) -> bytes:
@@ -97,7 +98,7 @@ def minima(s: np.ndarray, odd: np.ndarray) -> np.ndarray:
                 m = x.min(axis=1)
                 low = m if low is None else np.minimum(low, m)
             found[at : at + 16] = low
-    return _mix(found)
+    return mix(found)
 
 
 def estimates(one: np.ndarray, many: np.ndarray) -> np.ndarray:
@@ -112,28 +113,43 @@ def _rows(c: pa.Array) -> np.ndarray:
 
 
 def features(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
+    names = [x.split()[0] for x in FEATURES.split(", ")]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, int] = {}
         for b in batches:
-            rows = []
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                if len(known) > 300_000:
-                    known.clear()
-                s = shingles(text.as_py(), words, known)
+            n = np.zeros(b.num_rows, np.int64)
+            sets, sigs, bands = np.zeros((b.num_rows, 2), np.uint64), [], []
+            for i, s in enumerate(shingle_sets(b.column(1), words)):
+                n[i] = len(s)
                 if len(s):
-                    whole = xxhash.xxh3_128_intdigest(s.tobytes())
-                    a, c = np.array([whole >> 64, whole & (1 << 64) - 1], np.uint64).view(np.int64).tolist()
-                    rows.append((doc_id, len(s), a, c, *signature(s)))
+                    whole = xxhash.xxh3_128_intdigest(s)
+                    sets[i] = whole >> 64, whole & (1 << 64) - 1
+                    sig, band = signature(s)
+                    sigs.append(sig)
+                    bands.append(band)
                 else:
-                    rows.append((doc_id, 0, None, None, None, None))
-            if rows:
-                kinds = [*[pa.int64()] * 4, pa.binary(), pa.list_(pa.int64())]
-                columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in FEATURES.split(", ")])
+                    sigs.append(None)
+            none = n == 0
+            columns = [b.column(0), pa.array(n), *(pa.array(x.view(np.int64), mask=none) for x in np.ascontiguousarray(sets.T)), pa.array(sigs, pa.binary())]
+            flat = np.concatenate([np.empty(0, np.int64), *bands])
+            at = np.concatenate([[0], np.cumsum(~none)]).astype(np.int32) * BANDS
+            columns.append(pa.ListArray.from_arrays(pa.array(at), pa.array(flat)))
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, FEATURES)
 
 
+def _with_sides(pairs: DataFrame, table: DataFrame, columns: list[str]) -> DataFrame:
+    """Staged ``pairs`` (a, b) with the columns of both documents as <column>_a and <column>_b; a document in many pairs is dealt."""
+    rows = pairs.count()
+    for side in ("b", "a"):
+        n = pairs.groupBy(side).agg(F.count("*").alias("__n"))
+        right = table.select(F.col("doc_id").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in columns)).join(n, side)
+        given = pairs if side == "b" else out
+        out = spread_join(given, right, [side], "__n", rows, ["a", "b"]).drop("__n")
+    return out
+
+
 def _near(pairs: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose estimate and sizes allow a link."""
 
@@ -143,15 +159,14 @@ def _near(pairs: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
                 ok = estimates(_rows(b.column("sig_a")), _rows(b.column("sig_b"))) >= ESTIMATE - (80 - percent) / 100
                 yield b.select(["a", "b"]).filter(pa.array(ok))
 
-    one = sigs.select(F.col("doc_id").alias("a"), F.col("sig").alias("sig_a"), F.col("n_shingles").alias("n_a"))
-    two = sigs.select(F.col("doc_id").alias("b"), F.col("sig").alias("sig_b"), F.col("n_shingles").alias("n_b"))
-    sizes = (100 * F.least("n_a", "n_b")) >= percent * F.greatest("n_a", "n_b")
-    return pairs.join(two, "b").join(one, "a").where(sizes).select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
+    sizes = (100 * F.least("n_shingles_a", "n_shingles_b")) >= percent * F.greatest("n_shingles_a", "n_shingles_b")
+    sides = _with_sides(pairs, sigs, ["sig", "n_shingles"])
+    return sides.where(sizes).select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
 
 
 def _holding(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The documents with these ids: texts are not shuffled unless there are too many ids to broadcast."""
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
 
 
@@ -160,7 +175,7 @@ def _wide(docs: DataFrame, sigs: DataFrame, members: DataFrame, words: int) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [packed(minima(shingles(t.as_py(), words), _WIDE_ODD)) for t in b.column(1)]
+            got = [packed(minima(s, _WIDE_ODD)) for s in shingle_sets(b.column(1), words)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.binary())], names=["doc_id", "sig"])
 
     ids = members.select("doc_id").distinct()
@@ -178,11 +193,15 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int, words: int) -> D
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [shingles(t.as_py(), words).tobytes() for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.binary())], names=["doc_id", "set"])
+            first, held, size = 0, [], 0
+            for i, s in enumerate(shingle_sets(b.column(1), words)):
+                held.append(s.tobytes())
+                size += len(held[-1])
+                if size > SET_BYTES or i + 1 == b.num_rows:
+                    yield pa.RecordBatch.from_arrays([b.column(0)[first : i + 1], pa.array(held, pa.binary())], names=["doc_id", "set"])
+                    first, held, size = i + 1, [], 0
 
-    texts = _holding(docs, ids)
-    full = staged(texts.mapInArrow(sets, "doc_id long, set binary"), "near-sets")
+    full = staged(_holding(docs, ids).mapInArrow(sets, "doc_id long, set binary"), "near-sets", (ids,))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -190,13 +209,11 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int, words: int) -> D
             for x, y in zip(b.column("set_a"), b.column("set_b"), strict=True):
                 x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
                 small, large = (x, y) if len(x) <= len(y) else (y, x)
-                both = int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum())
-                ok.append(100 * both >= percent * (len(x) + len(y) - both))
+                both = int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum()) if len(small) else 0
+                ok.append(100 * both >= percent * (len(x) + len(y) - both) > 0)
             yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    one = full.select(F.col("doc_id").alias("a"), F.col("set").alias("set_a"))
-    two = full.select(F.col("doc_id").alias("b"), F.col("set").alias("set_b"))
-    linked = staged(pairs.join(two, "b").join(one, "a").mapInArrow(check, "a long, b long"), "links")
+    linked = staged(_with_sides(pairs, full, ["set"]).mapInArrow(check, "a long, b long"), "links", (pairs, full), SET_ROWS)
     return linked if linked.limit(1).count() else None
 
 
@@ -230,9 +247,10 @@ def components(edges: DataFrame, rounds: int = 50, at_once: int = FOREST_LINKS)
     round takes the smallest label among the neighbours and that label's own label until nothing changes.
     Labels are written to the shared folder each round.
     """
+    ready(edges.sparkSession)
     edges = staged(edges, "edges")
     if edges.count() <= at_once:
-        return staged(forest(edges.coalesce(1)), "labels")
+        return staged(forest(edges.coalesce(1)), "labels", (edges,))
     edges = forest(edges).where("doc_id <> component").select(F.col("doc_id").alias("a"), F.col("component").alias("b"))
     edges = staged(edges.union(edges.select("b", "a")).distinct(), "edges")
     labels = staged(edges.groupBy(F.col("a").alias("doc_id")).agg(F.least("doc_id", F.min("b")).alias("component")), "labels")
@@ -252,16 +270,21 @@ def components(edges: DataFrame, rounds: int = 50, at_once: int = FOREST_LINKS)
 
 
 def _mixed(postings: DataFrame, comps: DataFrame | None) -> DataFrame:
-    """band, doc_id, component, blocks of the members of buckets with several components."""
+    """band, doc_id, component of the members of buckets with several components, the bucket's largest one and blocks."""
+    rows = postings.count()
     labelled = postings.select("band", "doc_id", F.col("doc_id").alias("component"))
     if comps is not None:
         known = comps.select(F.col("doc_id").alias("node"), F.col("component").alias("label"))
         labelled = postings.join(known, postings.doc_id == known.node, "left").select(
             "band", "doc_id", F.coalesce("label", "doc_id").alias("component")
         )
-    mixed = labelled.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"))
-    mixed = mixed.where("lo <> hi").select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    return staged(labelled.join(mixed, "band"), "mixed-buckets")
+    each = labelled.groupBy("band", "component").agg(F.count("*").alias("n"))
+    mixed = each.groupBy("band").agg(F.max(F.struct("n", "component")).alias("most"), F.sum("n").alias("n"), F.count("*").alias("k")).where("k > 1")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    mixed = mixed.select(
+        "band", "n", F.col("most.component").alias("main"), blocks(F.col("most.n")).alias("main_blocks"), blocks(F.col("n") - F.col("most.n")).alias("blocks")
+    )
+    return staged(spread_join(labelled, mixed, ["band"], "n", rows, ["doc_id"]).drop("n"), "mixed-buckets")
 
 
 def _across(mixed: DataFrame, sigs: DataFrame, percent: int, closest: int | None) -> DataFrame:
@@ -271,8 +294,11 @@ def _across(mixed: DataFrame, sigs: DataFrame, percent: int, closest: int | None
     """
     rows = mixed.join(sigs, "doc_id")
     # A member of block i is sent to the tasks of all pairs of blocks with i: buckets of one block go to one task.
-    block = F.pmod(F.xxhash64("doc_id", "band"), F.col("blocks")).cast("int")
-    rows = rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    # Blocks of the largest component come last, and are paired with those outside it only.
+    inside, member = F.col("component") == F.col("main"), F.xxhash64("doc_id", "band")
+    block = F.when(inside, F.col("blocks") + F.pmod(member, F.col("main_blocks"))).otherwise(F.pmod(member, F.col("blocks"))).cast("int")
+    last = F.when(inside, F.col("blocks") - 1).otherwise(F.col("blocks") + F.col("main_blocks") - 1)
+    rows = rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
     rows = rows.select(
         "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "component", "sig", "n_shingles", "bands"
     )
@@ -330,22 +356,25 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = SHINGL
     """doc_id, n_shingles, component_id, kept of every row of ``docs``.
 
     Null, empty and wordless texts have no shingles and are linked with nothing. Rows with one doc_id are one
-    document's copies if their sets are equal and otherwise rows of one component. An empty table gives no
-    rows; other columns are ignored. Sets are compared by 64-bit hashes of their shingles.
+    document's copies if their sets are equal and otherwise rows of one component. Rows with a null doc_id are linked
+    by equal sets alone; without an equal set their component is null and they are kept. Ties cannot occur: the
+    smallest doc_id of a component is kept. Long texts are read whole. An empty table gives no rows; other
+    columns are ignored. Sets are compared by 64-bit hashes of their shingles.
     """
     spark = docs.sparkSession
+    ready(spark)
     feats = staged(features(docs, words), "minhash")
     some = feats.where("n_shingles > 0")
-    nodes = some.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("node"))
     firsts = some.groupBy("set_a", "set_b").agg(
-        F.min_by(F.struct("n_shingles", "sig", "bands"), "doc_id").alias("x"), F.min("doc_id").alias("doc_id")
+        F.min_by(F.struct("n_shingles", "sig", "bands"), "doc_id").alias("x"), F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")
     )
-    reps = staged(firsts.select("doc_id", "x.*"), "minhash-sets")
-    sigs = reps.select("doc_id", "n_shingles", "sig", "bands")
-    postings = reps.select("doc_id", F.explode("bands").alias("band"))
+    reps = staged(firsts.select("set_a", "set_b", "copies", "doc_id", "x.*"), "minhash-sets")
+    sigs = reps.select("doc_id", "n_shingles", "sig", "bands").where("doc_id is not null")
+    postings = reps.where("doc_id is not null").select("doc_id", F.explode("bands").alias("band"))
     leaders = postings.groupBy("band").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).where("n > 1")
-    postings = staged(postings.join(leaders, "band").select("band", "doc_id", "a"), "postings")
-    pairs = postings.where("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct()
+    dealt = spread_join(postings, leaders, ["band"], "n", BANDS * reps.count(), ["doc_id"])
+    postings = staged(dealt.select("band", "doc_id", "a"), "postings")
+    pairs = staged(postings.where("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct(), "leader-pairs")
     texts = docs.select("doc_id", "text")
     edges = _confirmed(_near(pairs, sigs, percent), texts, percent, words)
     comps = components(edges) if edges else None
@@ -357,13 +386,17 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = SHINGL
             edges = edges.union(more) if edges else more
             comps = components(edges)
             mixed = _mixed(members.select("band", "doc_id"), comps)
+    for old in (postings, pairs, wide, members, mixed):
+        drop(old)
     if comps is None:
         comps = spark.createDataFrame([], "doc_id long, component long")
     comps = comps.select(F.col("doc_id").alias("node"), "component")
-    sets = nodes.join(comps, "node", "left").select("set_a", "set_b", F.coalesce("component", "node").alias("component"))
-    out = feats.join(sets, ["set_a", "set_b"], "left")
+    nodes = reps.select("set_a", "set_b", "copies", F.col("doc_id").alias("node"))
+    sets = nodes.join(comps, "node", "left").select("set_a", "set_b", "copies", F.coalesce("component", "node").alias("component"))
+    rows = feats.select("doc_id", "n_shingles", "set_a", "set_b")
+    out = spread_join(rows, sets, ["set_a", "set_b"], "copies", rows.count(), ["doc_id"], "left")
     component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (component == F.col("doc_id")).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -331,3 +331,24 @@ def test_empty_tables(spark):
         token_files.read_documents(spark, token_files.write_token_files(docs, shared_dir(spark, "t"))),
     ):
         assert df.count() == 0
+
+
+def test_minhash_null_ids_and_repeated_rows(spark):
+    rows = [(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (None, "q r s t u v"), (7, None), (7, ""), (8, "a b c d e f g")]
+    got = sorted(map(tuple, minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == sorted([(1, 3, 1, True), (1, 3, 1, True), (None, 3, 1, False), (None, 3, None, True), (7, 0, 7, True), (7, 0, 7, True), (8, 4, 8, True)], key=str)
+
+
+def test_minhash_hot_groups(spark, monkeypatch):
+    """Groups that many rows share are dealt to several tasks, with the same result."""
+    from docscope.llm import common
+
+    monkeypatch.setattr(common, "SPREAD", 3)
+    monkeypatch.setattr(minhash, "BLOCK", 4)
+    base = [f"w{i}" for i in range(50)]
+    rows = [(k, " ".join(base)) for k in range(20)]
+    rows += [(100 + k, " ".join([*base[:47], f"x{k}", f"y{k}", f"z{k}"])) for k in range(30)]
+    rows += [(200 + k, " ".join([*base[:25], *(f"u{k // 2}v{i}" for i in range(25))])) for k in range(30)]
+    df = spark.createDataFrame([*rows, (300, None), (301, None), (302, "")], "doc_id long, text string")
+    label = brute_components(shingle_sets(df))
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(df).collect()} == label
