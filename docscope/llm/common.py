@@ -104,6 +104,14 @@ def spread_join(left: DataFrame, right: DataFrame, keys: list[str], count: str,
     return held.join(right.withColumn("__salt", F.explode(each)), [*keys, "__salt"], how).drop("__salt")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def schema(ddl: str) -> T.StructType:
     return T._parse_datatype_string(ddl)  # needs an active session
 
