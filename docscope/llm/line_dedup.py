@@ -1,7 +1,8 @@
 """Line deduplication by content-defined chunks of lines.
 
 A rolling hash over the hashes of neighbouring lines chooses where chunks end, so the same run of lines is cut alike
-wherever it stands. A line of LONG_WORDS words or more is a chunk of its own. Chunks that occur more than once in
+wherever it stands. A line of LONG_WORDS words or more is a chunk of its own (a parameter: without it a passage that stands
+in one line, as most repeated passages of the tables do, is in no chunk that repeats). Chunks that occur more than once in
 the corpus are compared byte by byte with their first occurrence (the smallest doc_id, then line); equal ones are
 removed, and with them the lines before and after that also stand beside the first occurrence.
 
@@ -21,24 +22,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import staged, table, unsigned_crc
+from .common import BROADCAST_ROWS, fresh, ready, spread_join, staged, table, unsigned_crc
 
 ROLL, DIVISOR, SEEDS = 2, 2, 3
 #: A chunk has two lines and MIN_WORDS words at least, or is one line of LONG_WORDS words.
 MIN_WORDS, LONG_WORDS = 20, 25
-BROADCAST_ROWS = 1_000_000
 _PRIME = 0x100000001B3
 
 
-def _reach(words: list[int], at: int, step: int = 1) -> int:
+def _reach(words: list[int], at: int, step: int = 1, long_words: int = LONG_WORDS) -> int:
     """How many lines from ``at`` on hold MIN_WORDS words in two lines, or end beside a long line or the text."""
     n = held = full = 0
-    while 0 <= (i := at + step * n) < len(words) and words[i] < LONG_WORDS and (held < MIN_WORDS or full < 2):
+    while 0 <= (i := at + step * n) < len(words) and words[i] < long_words and (held < MIN_WORDS or full < 2):
         held, full, n = held + words[i], full + (words[i] > 0), n + 1
     return n
 
 
-def chunks(lines: list[bytes]) -> list[tuple[int, int]]:
+def chunks(lines: list[bytes], long_words: int = LONG_WORDS) -> list[tuple[int, int]]:
     """(first line, number of lines) of the chunks of all cuttings that can be removed."""
     words = [len(x.split()) for x in lines]
     hashes = [xxhash.xxh3_64_intdigest(x) for x in lines]
@@ -49,7 +49,7 @@ def chunks(lines: list[bytes]) -> list[tuple[int, int]]:
             rolled = 0
             for h in hashes[max(start, i - ROLL + 1) : i + 1]:
                 rolled = (rolled * _PRIME + h) & 0xFFFFFFFFFFFFFFFF
-            alone = words[i] >= LONG_WORDS
+            alone = words[i] >= long_words
             if alone and start < i:
                 found.add((start, i - start))
                 start = i
@@ -57,12 +57,12 @@ def chunks(lines: list[bytes]) -> list[tuple[int, int]]:
                 found.add((start, i + 1 - start))
                 start = i + 1
     for i in range(len(lines)):
-        if 0 < words[i] < LONG_WORDS and sum(run := words[i : i + _reach(words, i)]) >= MIN_WORDS and sum(map(bool, run)) > 1:
+        if 0 < words[i] < long_words and sum(run := words[i : i + _reach(words, i, 1, long_words)]) >= MIN_WORDS and sum(map(bool, run)) > 1:
             found.add((i, len(run)))
-    return sorted((s, n) for s, n in found if (w := sum(words[s : s + n])) >= (MIN_WORDS if n > 1 else LONG_WORDS) and w)
+    return sorted((s, n) for s, n in found if (w := sum(words[s : s + n])) >= (MIN_WORDS if n > 1 else long_words) and w)
 
 
-def _found(docs: DataFrame) -> DataFrame:
+def _found(docs: DataFrame, long_words: int) -> DataFrame:
     """(h1, h2, doc_id, start): every chunk by a 128-bit hash of its bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,7 +70,7 @@ def _found(docs: DataFrame) -> DataFrame:
             rows = []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 lines = (text.as_py() or "").encode().split(b"\n")
-                for start, n in chunks(lines):
+                for start, n in chunks(lines, long_words):
                     h = xxhash.xxh3_128_intdigest(b"\n".join(lines[start : start + n]))
                     rows.append((h >> 64, h & (1 << 64) - 1, doc_id, start))
             if rows:
@@ -82,7 +82,7 @@ def _found(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "h1 long, h2 long, doc_id long, start int")
 
 
-def _texts(docs: DataFrame) -> DataFrame:
+def _texts(docs: DataFrame, long_words: int) -> DataFrame:
     """The chunks again with their bytes, and the lines before (nearest first) and after them.
 
     As many short lines are given on a side as make a chunk: what is farther off is in a chunk of its own or beside
@@ -95,10 +95,10 @@ def _texts(docs: DataFrame) -> DataFrame:
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 lines = (text.as_py() or "").encode().split(b"\n")
                 words = [len(x.split()) for x in lines]
-                for start, n in chunks(lines):
+                for start, n in chunks(lines, long_words):
                     body = b"\n".join(lines[start : start + n])
                     h = xxhash.xxh3_128_intdigest(body)
-                    lo, hi = start - _reach(words, start - 1, -1), start + n + _reach(words, start + n)
+                    lo, hi = start - _reach(words, start - 1, -1, long_words), start + n + _reach(words, start + n, 1, long_words)
                     rows.append((h >> 64, h & (1 << 64) - 1, doc_id, start, n, body, lines[lo:start][::-1], lines[start + n : hi]))
             for at in range(0, len(rows), 2000):
                 columns = list(zip(*rows[at : at + 2000], strict=True))
@@ -142,46 +142,52 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def removals(docs: DataFrame) -> DataFrame:
+def removals(docs: DataFrame, long_words: int = LONG_WORDS) -> DataFrame:
     """doc_id, spans: the runs of lines (start, n) of each document that occur earlier in the corpus."""
+    ready(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    found = staged(_found(docs), "line-chunks")
-    place = F.struct("doc_id", "start")
-    repeated = found.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("k")).where("k > 1")
-    repeated = staged(repeated.select("h1", "h2", "first"), "line-repeats")
-    where = staged(found.join(repeated, ["h1", "h2"]).select("h1", "h2", "doc_id", "start", "first"), "line-places")
-    ids = where.select("doc_id").distinct()
+    found = staged(_found(docs, long_words), "line-chunks")
+    rows, keys, own = found.count(), ["h1", "h2"], ["doc_id", "start"]
+    place = F.struct(*own)
+    repeated = found.groupBy(keys).agg(F.min(place).alias("first"), F.count("*").alias("k")).where("k > 1")
+    repeated = staged(repeated.select(*keys, "first", "k"), "line-repeats")
+    ids = staged(spread_join(found, repeated.drop("first"), keys, "k", rows, own).select("doc_id").distinct(), "line-holders", (found,))
     holders = docs.join(_small(ids, ids.count()), "doc_id", "left_semi")
-    texts = _texts(holders).join(repeated, ["h1", "h2"])
-    texts = staged(texts, "line-texts")
-    firsts = texts.where(place == F.col("first")).dropDuplicates(["h1", "h2"])
-    firsts = firsts.select("h1", "h2", *(F.col(c).alias(f"{c}0") for c in ("body", "before", "after")))
-    later = texts.where(place != F.col("first"))
+    # A chunk that many documents share is dealt to several tasks in each of these joins.
+    texts = staged(spread_join(_texts(holders, long_words), repeated, keys, "k", rows, own), "line-texts", (ids, repeated))
+    firsts = texts.where(place == F.col("first")).dropDuplicates(keys)
+    firsts = firsts.select(*keys, "k", *(F.col(c).alias(f"{c}0") for c in ("body", "before", "after")))
+    later = texts.where(place != F.col("first")).drop("first", "k")
     columns = ["doc_id", "start", "n", "body", "before", "after", "body0", "before0", "after0"]
-    return _compared(later.join(firsts, ["h1", "h2"]).select(columns)).distinct().groupBy("doc_id").agg(
-        F.collect_list(F.struct("start", "n")).alias("spans")
-    )
+    pairs = spread_join(later, firsts, keys, "k", rows, own).select(columns)
+    spans = _compared(pairs).distinct().groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+    return staged(spans, "line-spans", (texts,), 200)
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def dedup_lines(docs: DataFrame, long_words: int = LONG_WORDS) -> DataFrame:
     """``docs`` with the text that is left, n_lines, removed_lines and removed_words; every row stays.
 
-    The first occurrence of a chunk stays where it is, later ones go, also within one document. A copy of an earlier
-    document thus loses its text but stays as a row. Null texts stay null; an empty table gives no rows. Rows
-    that share a doc_id with an earlier row are told apart by nothing, so what is removed is removed from each of
-    them where it stands; rows with a null doc_id are left alone. Other columns stay as they are.
+    The first occurrence of a chunk (the smallest doc_id, then line) stays where it is, later ones go, also within
+    one document. A copy of an earlier document thus loses its text but stays as a row. Null texts stay null; an
+    empty table gives no rows. Rows that share a doc_id are told apart by nothing: what is removed from one is removed
+    from each of them where it stands, and where their chunks tie as first occurrence each of them keeps it; rows with
+    a null doc_id are left alone and shield nothing. Long texts are read whole. Other columns stay as they
+    are, but for those named like the three new ones, which give way. ``long_words``: a line of so many words is a
+    chunk of its own; a greater number leaves chunks of several lines alone.
     """
-    spans = staged(removals(docs), "line-spans")
+    docs = docs.drop("n_lines", "removed_lines", "removed_words")
+    spans = removals(docs, long_words)
     n = spans.select(F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()[0]
-    spans = _small(spans.select(F.col("doc_id").alias("__id"), F.col("spans").alias("__spans")), n)
-    joined = docs.join(spans, F.col("doc_id").cast("long") == F.col("__id"), "left").drop("__id")
+    key, held = fresh(docs, "spans_of"), fresh(docs, "spans")
+    spans = _small(spans.select(F.col("doc_id").alias(key), F.col("spans").alias(held)), n)
+    joined = docs.join(spans, F.col("doc_id").cast("long") == F.col(key), "left").drop(key)
     kinds = {f.name: f for f in docs.schema.fields}
     names = [*kinds, "n_lines", "removed_lines", "removed_words"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, counts = [], []
-            for text, spans in zip(b.column("text"), b.column("__spans").to_pylist(), strict=True):
+            for text, spans in zip(b.column("text"), b.column(held).to_pylist(), strict=True):
                 text = text.as_py()
                 if not spans or text is None:
                     texts.append(text)
@@ -199,7 +205,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     out = T.StructType(list(docs.schema.fields))
     for c in names[len(kinds) :]:
         out = out.add(c, "long")
-    return joined.select(*kinds, "__spans").mapInArrow(run, out)
+    return joined.select(*kinds, held).mapInArrow(run, out)
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
