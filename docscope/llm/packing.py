@@ -1,8 +1,9 @@
 """Packing: shortest-pack-first over the length histogram, joined back to the documents' pieces by rank.
 
 Documents are cut into full sequences and a remainder. Only the histogram of piece lengths (at most ``max_len``
-bins) reaches the driver. Lengths are placed longest first, each into the open packs with the least room in which
-it fits; equal packs are one pattern with a count, so the work depends on the bins and not on the pieces. The n-th piece of a length then takes the n-th place that the patterns give this length.
+bins) reaches the driver. Lengths are placed longest first, each into the shortest pack, the one with the most room; where
+it does not fit there, it opens a new pack. Equal packs are one pattern with a count, so the work depends on the bins and
+not on the pieces. The n-th piece of a length then takes the n-th place that the patterns give this length.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import staged, table
+from .common import ready, staged, table
 from .token_files import END_ID
 from .tokens import encoder
 
@@ -55,8 +56,8 @@ def cut_pieces(docs: DataFrame, max_len: int = MAX_LEN, tokenizer: str | None =
 def pack_histogram(histogram: dict[int, int], max_len: int = MAX_LEN) -> list[tuple[tuple[int, ...], int]]:
     """(pattern of lengths, count) so that the patterns hold every length as often as the histogram says.
 
-    Longest first; a length goes to the open packs that it leaves with the least room ("shortest" remaining
-    space), as many at a time as both counts allow; what fits nowhere opens new packs.
+    Longest first; a length goes to the packs with the fewest tokens, one to each in turn, as many at a time as
+    both counts allow; what does not fit in them fits nowhere and opens new packs.
     """
     open_packs: dict[int, dict[tuple[int, ...], int]] = {}  # room -> pattern -> count
     rooms: list[int] = []  # sorted, those with packs
@@ -74,22 +75,23 @@ def pack_histogram(histogram: dict[int, int], max_len: int = MAX_LEN) -> list[tu
     for length in sorted(histogram, reverse=True):
         left = histogram[length]
         while left > 0:
-            at = bisect.bisect_left(rooms, length)
-            if at == len(rooms):
+            if not rooms or rooms[-1] < length:
                 each = max_len // length
                 if left >= each:
                     put((length,) * each, max_len - each * length, left // each)
                 if left % each:
                     put((length,) * (left % each), max_len - (left % each) * length, 1)
                 break
-            room = rooms[at]
+            room = rooms[-1]
             pattern, count = next(iter(open_packs[room].items()))
-            fit = min(room // length, left)  # copies of this length in each of these packs
+            # These packs stay the shortest until they reach the next room: so many copies go to each of them in turn.
+            later = rooms[-2] if len(rooms) > 1 and len(open_packs[room]) == 1 else room if len(open_packs[room]) > 1 else 0
+            fit = max(1, min((room - later) // length, room // length, left // count))
             used = min(count, left // fit)
             if used == count:
                 del open_packs[room][pattern]
                 if not open_packs[room]:
-                    del open_packs[room], rooms[at]
+                    del open_packs[room], rooms[-1]
             else:
                 open_packs[room][pattern] = count - used
             put(pattern + (length,) * fit, room - fit * length, used)
@@ -118,10 +120,13 @@ def places(patterns: list[tuple[tuple[int, ...], int]]) -> dict[int, tuple[np.nd
 def pack(docs: DataFrame, max_len: int = MAX_LEN, tokenizer: str | None = None) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset: each piece and its place in a sequence.
 
-    A null or empty text is its end id alone. Rows with one doc_id are documents of their own. An empty table
-    gives no rows. Columns other than doc_id and text are ignored.
+    A null or empty text is its end id alone. Rows with one doc_id, or with a null one, are documents of their own.
+    Pieces of one length are interchangeable, so ties change nothing but which of them stands where. Long texts are
+    cut into whole sequences and a remainder. An empty table gives no rows. Columns other than doc_id and text are
+    ignored, whatever their names.
     """
     spark = docs.sparkSession
+    ready(spark)
     pieces = staged(cut_pieces(docs, max_len, tokenizer), "pieces")
     counts = staged(pieces.groupBy("length", "part").agg(F.count("*").alias("n")), "piece-counts")
     # At most max_len bins.
