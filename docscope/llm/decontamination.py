@@ -1,78 +1,75 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Documents are read as overlapping passages of words. TF-IDF weights come from the document counts of the whole
-corpus. A randomised SVD of the passages (with the benchmark items as weighted rows, so that the space has room
-for each) is computed where the passages are; only matrices of vocabulary by rank reach the driver. Passages whose
-cosine with an item passes a threshold are candidates, and candidates are checked on the text: longest common
-subsequence of words, and for looser matches the item's answer.
-
-The vocabulary is that of the benchmark, all of it: other terms add nothing to a product with an item, and common
-terms weigh little but are what is left of an item whose rarer words were replaced. Every passage with a term of it
-is compared. Items are handled in blocks of ``ITEM_BLOCK``, each with a space of its own, so matrices have a bound
-whatever the benchmark's size.
+Documents are read as overlapping passages of words, words as buckets of a hashed vocabulary of the corpus. The space
+of the search is a randomised SVD of the TF-IDF matrix whose rows are all passages of the corpus and the benchmark
+items: each passage is added, with a random sign, to one of ``SKETCH`` rows, in the task that reads it; the sums of
+these rows over the corpus, and the items with a weight, span the range of the matrix, and the
+right singular vectors of this small matrix are the space. Passages whose cosine with an item, taken in the space,
+passes a threshold are candidates. They are checked on their words in the same task: longest common subsequence, and
+for looser matches the item's content words and its sentences as answers.
+
+The corpus is read once for the sketch, which does not depend on the items, and once for each ``ITEMS`` items. What is
+held is bounded by parameters: the sketch (SKETCH by BUCKETS numbers) and what projects words on items (BUCKETS by
+ITEMS).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import staged, table
+from .common import ready, staged, table
+from .words import mix, word_hashes
 
 HALF = 32  #: a passage has two halves and shares each with a neighbour
-CHUNK = 64  #: passages that are multiplied at a time, so that what they make stays in the cache
-ITEM_BLOCK, EXTRA_RANK, OVERSAMPLE = 256, 32, 16
-COSINE, COPY, PARAPHRASE, ANSWER = 0.12, 0.75, 0.6, 0.7
-BROADCAST_ROWS = 1_000_000
-EDGES = "\"'`.,;:!?()[]{}<>*#$%&|-_~+=/\\“”‘’«»¿¡…"
-
-
-def words_of(text: str | None) -> list[str]:
-    """Lower-case words between white space and punctuation."""
-    text = text or ""
-    for c in EDGES:
-        text = text.replace(c, " ")
-    return text.lower().split()
-
-
-def answer_of(text: str | None) -> list[str]:
-    """The words of an item's last sentence: what stands in for an answer where a benchmark has no such column."""
-    sentences = [s for s in (text or "").replace("\n", ". ").replace("? ", ". ").split(". ") if words_of(s)]
-    return words_of(sentences[-1]) if sentences else []
-
-
-class Terms:
-    """Finds the terms of a vocabulary (word -> index) in texts."""
-
-    def __init__(self, vocabulary: dict[str, int]) -> None:
-        self.vocabulary, self.words = vocabulary, frozenset(vocabulary)
-
-    def passages(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Passage, term and count of each term in each passage."""
-        raw = words_of(text)
-        ids = np.fromiter(map(self.vocabulary.get, raw, repeat(-1)), np.int64, len(raw))
-        at = np.flatnonzero(ids >= 0)
-        last = max(0, (len(raw) - 1) // HALF - 1)  # passages 0 to last; passage p has halves p and p + 1
-        half, size = at // HALF, len(self.vocabulary)
-        first, second = half - 1, half
-        p = np.concatenate([first[first >= 0], second[second <= last]])
-        t = np.concatenate([ids[at][first >= 0], ids[at][second <= last]])
-        key, n = np.unique(p * size + t, return_counts=True)
-        return key // size, key % size, n
-
-    def distinct(self, text: str | None) -> list[int]:
-        """The different terms of a text."""
-        return [self.vocabulary[w] for w in self.words.intersection(words_of(text))]
-
-
-def lcs(a: list[str], b: list[str]) -> int:
+BUCKETS, SKETCH = 1 << 15, 288
+#: Items that share a space, its dimensions beyond their number, and passages that are compared at a time.
+ITEMS, EXTRA_RANK, PASSAGE_BLOCK = 512, 64, 64
+#: The items' energy in the matrix as a multiple of the corpus's, so that the space has room for each of them.
+ITEM_ENERGY = 30.0
+COSINE = 0.16
+#: Shares of an item's words that a passage holds in order: copies; and paraphrases, which also hold so much of the
+#: item's content words and of a sentence.
+COPY, PARAPHRASE, CONTENT, ANSWER = 0.75, 0.45, 0.4, 0.5
+SENTENCE_WORDS = 3
+_SIGNS = "\"'`.,;:!?()[]{}<>*#$%&|-_~+=/\\^@"
+SPACES = bytes(1 if b <= 0x20 or b == 0x7F or chr(b) in _SIGNS else 0 for b in range(256))
+_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+
+
+def prepare(text: bytes) -> bytes:
+    """Lower-case bytes of the same length (ASCII and Latin-1 letters), with other signs of Latin text as spaces."""
+    low = text.translate(_LOWER)
+    if low.isascii():
+        return low
+    x = np.frombuffer(bytearray(low), np.uint8)
+    at = np.flatnonzero(x[:-1] == 0xC3) + 1
+    big = at[(x[at] >= 0x80) & (x[at] <= 0x9E) & (x[at] != 0x97)]
+    x[big] += 0x20
+    at = np.flatnonzero(x[:-1] == 0xC2)
+    at = at[~np.isin(x[at + 1], (0xAA, 0xB5, 0xBA))]
+    x[at] = x[at + 1] = 0x20
+    at = np.flatnonzero((x[:-2] == 0xE2) & (x[1:-1] == 0x80))
+    x[at] = x[at + 1] = x[at + 2] = 0x20
+    return x.tobytes()
+
+
+def words_of(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Hashes of the lower-case words between white space and signs, by runs of texts."""
+    return word_hashes(column, prepare, SPACES)
+
+
+def buckets(h: np.ndarray) -> np.ndarray:
+    return (h % np.uint64(BUCKETS)).astype(np.int64)
+
+
+def lcs(a: list, b: list) -> int:
     """Length of the longest common subsequence of words, by bit-parallel rows."""
-    places: dict[str, int] = {}
+    places: dict = {}
     for i, w in enumerate(a):
         places[w] = places.get(w, 0) | 1 << i
     whole = (1 << len(a)) - 1
@@ -84,204 +81,207 @@ def lcs(a: list[str], b: list[str]) -> int:
     return len(a) - row.bit_count()
 
 
-def _counts(docs: DataFrame, vocabulary: dict[str, int]) -> tuple[np.ndarray, int]:
-    """Documents with each term, and all documents."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, df, n = Terms(shared.value), np.zeros(len(shared.value), np.int64), 0
+class Layout:
+    """Halves and passages of a run of texts: passage p of a text has its halves p and p + 1."""
+
+    def __init__(self, bounds: np.ndarray) -> None:
+        n = np.diff(bounds)
+        self.halves = -(-n // HALF)
+        self.passages = np.where(self.halves > 0, np.maximum(self.halves - 1, 1), 0)
+        self.first_half, self.first_passage = np.cumsum(self.halves) - self.halves, np.cumsum(self.passages) - self.passages
+        self.doc = np.repeat(np.arange(len(n)), n)
+        self.half = (np.arange(bounds[-1]) - bounds[self.doc]) // HALF  # of each word in its text
+
+
+class Sketch:
+    """Documents with each bucket, and the signed sums of the passages of a task."""
+
+    def __init__(self, seed: int) -> None:
+        self.df, self.n, self.seen = np.zeros(BUCKETS, np.int64), 0, seed << 40
+        self.rows = np.zeros(SKETCH * BUCKETS, np.int32)
+
+    def add(self, h: np.ndarray, bounds: np.ndarray) -> None:
+        lay, t = Layout(bounds), buckets(h)
+        self.n += len(lay.halves)
+        # Once for each half: a term counts 0, 1 or 2 in a passage, so that lists and repetition don't outweigh the rest.
+        kept = np.unique((lay.first_half[lay.doc] + lay.half) * BUCKETS + t, return_index=True)[1]
+        t, doc, half = t[kept], lay.doc[kept], lay.half[kept]
+        self.df += np.bincount(np.unique(doc * BUCKETS + t) % BUCKETS, minlength=BUCKETS)
+        key = mix(np.arange(int(lay.passages.sum()), dtype=np.uint64) + np.uint64(self.seen))
+        self.seen += len(key)
+        row = (key % np.uint64(SKETCH)).astype(np.int64) * BUCKETS
+        sign = (key >> np.uint64(63)).astype(np.int32) * 2 - 1
+        for ok, step in ((half < lay.passages[doc], 0), (half > 0, -1)):
+            p = (lay.first_passage[doc] + half + step)[ok]
+            np.add.at(self.rows, row[p] + t[ok], sign[p])
+
+    def parts(self) -> Iterator[tuple[int, bytes, bytes]]:
+        """(row, places, values) of what is not 0; row -1 has the documents with each bucket and then their number."""
+        df = np.append(self.df, self.n)
+        for i, x in [(-1, df), *enumerate(self.rows.reshape(SKETCH, BUCKETS))]:
+            at = np.flatnonzero(x)
+            if len(at):
+                yield i, at.astype("<i4").tobytes(), x[at].astype("<i4" if i >= 0 else "<i8").tobytes()
+
+
+def sketch(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
+    """The signed sums (SKETCH by BUCKETS) of all passages, the documents with each bucket, and all documents."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        held = Sketch(TaskContext.get().partitionId())
         for b in batches:
-            found: list[int] = []
-            for text in b.column("text"):
-                found += terms.distinct(text.as_py())
-                if len(found) > 1_000_000:
-                    df += np.bincount(found, minlength=len(df))
-                    found = []
-            df += np.bincount(np.array(found, np.int64), minlength=len(df))
-            n += b.num_rows
-        where = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array([*where, -1]), pa.array([*df[where], n])], names=["term", "n"])
-
-    got = docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
-    df, total = np.zeros(len(vocabulary), np.int64), 0
-    for r in got:  # a row for each term of the vocabulary at most
-        if r.term < 0:
-            total = r.n
-        else:
-            df[r.term] = r.n
-    return df, total
-
+            for _, _, h, bounds in words_of(b.column(0)):
+                held.add(h, bounds)
+        for row, places, values in held.parts():
+            yield pa.RecordBatch.from_arrays([pa.array([row]), pa.array([places]), pa.array([values])], names=["row", "places", "vals"])
 
-def _sparse(docs: DataFrame, vocabulary: dict[str, int], weight: np.ndarray) -> DataFrame:
-    """doc_id, passage, terms and unit-free TF-IDF values of passages with a term of the vocabulary."""
-    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, weight))
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted; one is held at a time."""
+        row, total = None, None
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, weight = shared.value
-        terms = Terms(vocabulary)
-
-        def batch(out: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-            doc_id, passage, size, t, v = (np.concatenate(c) for c in zip(*out, strict=True))
-            ends = pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32))
-            lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (t, v)]
-            return pa.RecordBatch.from_arrays([pa.array(doc_id), pa.array(passage), *lists], names=["doc_id", "passage", "terms", "vals"])
+        def given() -> pa.RecordBatch:
+            kind = "<f4" if row >= 0 else "<f8"
+            return pa.RecordBatch.from_arrays([pa.array([row]), pa.array([total.astype(kind).tobytes()])], names=["row", "total"])
 
         for b in batches:
-            out: list[tuple[np.ndarray, ...]] = []
-            held = 0
-            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
-                p, t, n = terms.passages(text.as_py())
-                if not len(p):
-                    continue
-                first = np.flatnonzero(np.diff(p, prepend=-1))
-                vals = ((1 + np.log(n)) * weight[t]).astype(np.float32)
-                out.append((np.full(len(first), doc_id, np.int64), p[first], np.diff(first, append=len(p)), t.astype(np.int32), vals))
-                if (held := held + len(p)) > 1_000_000:
-                    yield batch(out)
-                    out, held = [], 0
-            if out:
-                yield batch(out)
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, passage long, terms array<int>, vals array<float>")
-
-
-def _flat(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    t, v = b.column("terms"), b.column("vals")
-    starts = np.concatenate([[0], np.cumsum(t.value_lengths().to_numpy())[:-1]]).astype(np.int64)
-    return t.flatten().to_numpy(), v.flatten().to_numpy(), starts
-
-
-def _projected(b: pa.RecordBatch, basis: np.ndarray) -> np.ndarray:
-    """Rows of the sparse batch times the basis, CHUNK rows at a time."""
-    t, v, starts = _flat(b)
-    ends = np.append(starts, len(t))
-    y = np.empty((b.num_rows, basis.shape[1]), np.float32)
-    for at in range(0, b.num_rows, CHUNK):
-        lo, hi = ends[at], ends[min(at + CHUNK, b.num_rows)]
-        np.add.reduceat(basis[t[lo:hi]] * v[lo:hi, None], starts[at : at + CHUNK] - lo, axis=0, out=y[at : at + CHUNK])
-    return y
-
-
-def _summed(rows: DataFrame, shape: tuple[int, int], basis: np.ndarray, small: bool) -> np.ndarray:
-    """A'(A basis), or basis'A'A basis if ``small``: summed as a tree, so that the driver gets few partial sums."""
-    shared = rows.sparkSession.sparkContext.broadcast(basis)
-
-    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(shape, np.float64)
-        for big in batches:
-            for at in range(0, big.num_rows, 512):
-                b = big.slice(at, 512)
-                y = _projected(b, shared.value)
-                if small:
-                    total += y.T.astype(np.float64) @ y
-                else:
-                    t, v, _ = _flat(b)
-                    each = np.repeat(np.arange(b.num_rows), b.column("terms").value_lengths().to_numpy())
-                    order = np.argsort(t, kind="stable")
-                    first = np.flatnonzero(np.diff(t[order], prepend=-1))
-                    for k in range(0, len(first), 4 * CHUNK):  # each term's rows are summed, some terms at a time
-                        lo, hi = first[k], first[k + 4 * CHUNK] if k + 4 * CHUNK < len(first) else len(order)
-                        own, at_term = order[lo:hi], first[k : k + 4 * CHUNK]
-                        total[t[order[at_term]]] += np.add.reduceat(y[each[own]] * v[own, None], at_term - lo, axis=0)
-        if total.any():
-            yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.float64).tobytes()], pa.binary())], names=["part"])
-
-    parts = rows.mapInArrow(part, "part binary").rdd.map(lambda r: np.frombuffer(r[0], np.float64))
-    zero = np.zeros(shape[0] * shape[1])
-    return np.asarray(parts.treeAggregate(zero, lambda a, x: a + x, lambda a, x: a + x, 2)).reshape(shape)
-
-
-def latent_basis(rows: DataFrame, items: np.ndarray, rank: int, seed: int = 11) -> np.ndarray:
-    """Right singular vectors (vocabulary by rank) of the passages with the items as weighted rows."""
-    size, width = items.shape[1], min(items.shape[1], rank + OVERSAMPLE)
-    energy = rows.select(F.sum(F.aggregate("vals", F.lit(0.0), lambda a, x: a + x * x))).first()[0] or 1.0
-    w2 = max(energy, 1.0) / max((items**2).sum(), 1e-9)
-    omega = np.random.default_rng(seed).standard_normal((size, width)).astype(np.float32)
-    z = _summed(rows, (size, width), omega, False) + w2 * items.T @ (items @ omega)
-    q = np.linalg.qr(z)[0].astype(np.float32)
-    core = _summed(rows, (width, width), q, True) + w2 * (items @ q).T @ (items @ q)
-    values, vectors = np.linalg.eigh(core)
-    return (q @ vectors[:, np.argsort(-values)[:rank]]).astype(np.float32)
-
-
-def _candidates(rows: DataFrame, basis: np.ndarray, items: np.ndarray, ids: list[int]) -> DataFrame:
-    """(doc_id, passage, item_id, cosine) of passages near an item in the latent space."""
-    latent = items @ basis
-    latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
-    # A passage is projected on the space and then on the items: both as one matrix of vocabulary by items.
-    shared = rows.sparkSession.sparkContext.broadcast(((basis @ latent.T).astype(np.float32), np.array(ids, np.int64)))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        onto, ids = shared.value
-        for big in batches:
-            for at in range(0, big.num_rows, 512):
-                b = big.slice(at, 512)
-                _, v, starts = _flat(b)
-                norm = np.sqrt(np.add.reduceat(v.astype(np.float64) ** 2, starts))
-                near = _projected(b, onto) / norm[:, None]
-                row, item = np.nonzero(near >= COSINE)
-                if len(row):
-                    columns = [b.column("doc_id").take(pa.array(row)), b.column("passage").take(pa.array(row)), pa.array(ids[item])]
-                    columns.append(pa.array(near[row, item].astype(np.float64)))
-                    yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "passage", "item_id", "cosine"])
-
-    return rows.mapInArrow(run, "doc_id long, passage long, item_id long, cosine double")
-
-
-def _checked(docs: DataFrame, candidates: DataFrame, items: dict[int, tuple[list[str], list[str]]]) -> DataFrame:
-    """doc_id, item_id, kind, lcs, cosine of the candidates that the text confirms."""
-    candidates = staged(candidates, "leak-candidates")
-    by_doc = candidates.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list(F.struct("passage", "item_id", "cosine")).alias("found"))
-    n = candidates.count()
-    by_doc = F.broadcast(by_doc) if n <= BROADCAST_ROWS else by_doc
-    joined = docs.join(by_doc, F.col("doc_id") == F.col("__id")).select("doc_id", "text", "found")
-    shared = docs.sparkSession.sparkContext.broadcast(items)
+            for i, places, values in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
+                if i != row:
+                    if row is not None:
+                        yield given()
+                    row, total = i, np.zeros(BUCKETS + 1)
+                total[np.frombuffer(places.as_buffer(), "<i4")] += np.frombuffer(values.as_buffer(), "<i4" if i >= 0 else "<i8")
+        if row is not None:
+            yield given()
+
+    parts = docs.select("text").mapInArrow(read, "row long, places binary, vals binary")
+    sums = parts.repartition(min(SKETCH, 64), "row").sortWithinPartitions("row").mapInArrow(summed, "row long, total binary")
+    rows, df, n = np.zeros((SKETCH, BUCKETS), np.float32), np.zeros(BUCKETS), 0
+    for r in staged(sums, "sketch", batch_rows=16).collect():  # SKETCH + 1 rows of BUCKETS numbers
+        if r.row < 0:
+            got = np.frombuffer(r.total, "<f8")
+            df, n = got[:-1], int(got[-1])
+        else:
+            rows[r.row] = np.frombuffer(r.total, "<f4")[:-1]
+    return rows, df, n
+
+
+def weights(df: np.ndarray, n: int) -> np.ndarray:
+    """Smooth IDF: terms of every document still count, as they are what is left of an item whose rarer words were replaced."""
+    return np.log(1 + (n + 1) / (df + 0.5))
+
+
+def space(rows: np.ndarray, items: np.ndarray, rank: int) -> np.ndarray:
+    """Right singular vectors (rank by BUCKETS) of the weighted sketch and the items, which get ITEM_ENERGY times its energy."""
+    times = np.sqrt(ITEM_ENERGY * max(float((rows**2).sum()), 1.0) / max(float((items**2).sum()), 1e-9))
+    both = np.vstack([rows, items * times]).astype(np.float32)
+    values, left = np.linalg.eigh((both @ both.T).astype(np.float64))
+    top = np.argsort(-values)[:rank]
+    top = top[values[top] > 1e-6 * values.max()]
+    return ((left[:, top].T @ both) / np.sqrt(values[top])[:, None]).astype(np.float32)
+
+
+class Item:
+    """An item's words by their hashes, those of more than its median weight, and its sentences."""
+
+    def __init__(self, item_id: int, text: str, weight: np.ndarray) -> None:
+        self.id = item_id
+        h = next(words_of(pa.array([text])), (0, 0, np.empty(0, np.uint64), None))[2]
+        self.words, w = h.tolist(), weight[buckets(h)]
+        self.buckets = buckets(h)
+        self.content = h[w >= np.median(w)].tolist() if len(h) else []
+        ends = text.replace("\n", ". ").replace("? ", ". ").replace("! ", ". ").split(". ")
+        found = [x[2].tolist() for s in ends for x in words_of(pa.array([s]))]
+        self.answers = [s for s in found if len(s) >= SENTENCE_WORDS] or [self.words]
+
+    def match(self, region: list[int]) -> tuple[str | None, float]:
+        """Whether a passage with its surroundings holds the item (copy, paraphrase or None), and how much of it in order."""
+        n = len(self.words)
+        there = set(region)
+        # No subsequence is longer than the item's words that are there at all.
+        if sum(map(there.__contains__, self.words)) < PARAPHRASE * n:
+            return None, 0.0
+        part = lcs(self.words, region) / n
+        if part >= COPY:
+            return "copy", part
+        if part < PARAPHRASE or lcs(self.content, region) < CONTENT * len(self.content):
+            return None, part
+        answered = any(lcs(s, region) >= ANSWER * len(s) for s in self.answers)
+        return "paraphrase" if answered else None, part
+
+
+class Search:
+    """The items in the latent space, and the passages that are near one and hold it."""
+
+    def __init__(self, rows: np.ndarray, weight: np.ndarray, items: list[Item], cosine: float = COSINE) -> None:
+        self.weight, self.items, self.cosine = weight.astype(np.float32), items, cosine
+        counts = np.array([np.bincount(x.buckets, minlength=BUCKETS).clip(max=2) for x in items], np.float32) * self.weight
+        basis = space(rows * self.weight, counts, len(items) + EXTRA_RANK)
+        latent = counts @ basis.T
+        latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
+        # A passage is projected on the space and then on the items: both as one matrix of buckets by items.
+        self.onto = np.ascontiguousarray((latent @ basis).T) * self.weight[:, None]
+        #: A passage's length in the items' terms, as other terms are outside what the items can tell.
+        self.square = np.where(counts.any(axis=0), self.weight**2, 0)
+
+    def candidates(self, h: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, int, float]]:
+        """(text, passage, item, cosine) of a run of texts, in their order."""
+        lay, t = Layout(bounds), buckets(h)
+        half = lay.first_half[lay.doc] + lay.half  # of each word in the run
+        starts = np.append(np.searchsorted(half, np.arange(int(lay.halves.sum()))), len(t))
+        doc = np.repeat(np.arange(len(lay.passages)), lay.passages)
+        own = np.arange(len(doc)) - lay.first_passage[doc]
+        first = lay.first_half[doc] + own
+        two = lay.halves[doc] > 1
+        for at in range(0, len(doc), PASSAGE_BLOCK):
+            a, b = first[at : at + PASSAGE_BLOCK], two[at : at + PASSAGE_BLOCK]
+            lo, hi = int(a[0]), int(a[-1]) + 1 + int(b[-1])
+            words = t[starts[lo] : starts[hi]]
+            terms, place = np.unique(words, return_inverse=True)
+            cells = (half[starts[lo] : starts[hi]] - lo) * len(terms) + place
+            counts = np.zeros((hi - lo, len(terms)), np.float32)
+            counts.reshape(-1)[cells] = 1
+            rows = counts[a - lo]
+            rows[b] += counts[a[b] + 1 - lo]
+            length = np.sqrt(rows**2 @ self.square[terms])
+            near = (rows @ self.onto[terms]) / np.maximum(length, 1e-9)[:, None]
+            for row, item in zip(*np.nonzero(near >= self.cosine), strict=True):
+                yield int(doc[at + row]), int(own[at + row]), int(item), float(near[row, item])
+
+    def found(self, h: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, str, float, float]]:
+        """(text, item id, kind, share in order, cosine) of the candidates that their words confirm."""
+        for doc, passage, k, cosine in self.candidates(h, bounds):
+            item = self.items[k]
+            around = len(item.words)
+            lo = bounds[doc] + max(0, passage * HALF - around)
+            kind, part = item.match(h[lo : min(bounds[doc + 1], bounds[doc] + (passage + 2) * HALF + around)].tolist())
+            if kind:
+                yield doc, item.id, kind, part, cosine
+
+
+FOUND = "doc_id long, item_id long, kind string, lcs double, cosine double"
+
+
+def _searched(docs: DataFrame, search: Search) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(search)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        search = shared.value
         for b in batches:
-            out: list[tuple] = []
-            for doc_id, text, found in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
-                raw = words_of(text.as_py())
-                best: dict[int, tuple] = {}
-                for f in found:
-                    words, answer = shared.value[f["item_id"]]
-                    lo = max(0, f["passage"] * HALF - len(words))
-                    region = raw[lo : (f["passage"] + 2) * HALF + len(words)]
-                    # No subsequence is longer than the item's words that are there at all.
-                    if sum(map(set(region).__contains__, words)) < PARAPHRASE * len(words):
-                        continue
-                    part = lcs(words, region) / len(words)
-                    kind = "copy" if part >= COPY else None
-                    if not kind and part >= PARAPHRASE and answer and lcs(answer, region) >= ANSWER * len(answer):
-                        kind = "paraphrase"
-                    if kind and best.get(f["item_id"], (0, 0.0))[1] < part:
-                        best[f["item_id"]] = (kind, part, f["cosine"])
-                out += [(doc_id, item, *x) for item, x in best.items()]
+            ids, out = b.column(0).to_pylist(), []
+            for first, _, h, bounds in words_of(b.column(1)):
+                best: dict[tuple[int, int], tuple] = {}
+                for doc, item, kind, part, cosine in search.found(h, bounds):
+                    key = ids[first + doc], item
+                    best[key] = max(best.get(key, (0.0, 0.0, "")), (part, cosine, kind))
+                out += [(*key, kind, part, cosine) for key, (part, cosine, kind) in best.items()]
             if out:
                 kinds = (pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.float64())
                 columns = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "item_id", "kind", "lcs", "cosine"])
 
-    return joined.mapInArrow(run, "doc_id long, item_id long, kind string, lcs double, cosine double")
-
-
-def _block(docs: DataFrame, items: list[tuple[int, str]]) -> DataFrame | None:
-    words = {i: words_of(t) for i, t in items}
-    ids = [i for i, w in words.items() if w]
-    if not ids:
-        return None
-    vocabulary = {w: k for k, w in enumerate(sorted({w for ws in words.values() for w in ws}))}
-    df, total = _counts(docs, vocabulary)
-    weight = np.log((total + 1) / (df + 0.5)).clip(0.01)
-    matrix = np.zeros((len(ids), len(vocabulary)), np.float32)
-    for r, i in enumerate(ids):
-        t, n = np.unique([vocabulary[w] for w in words[i]], return_counts=True)
-        matrix[r, t] = (1 + np.log(n)) * weight[t]
-    rows = staged(_sparse(docs, vocabulary, weight), "passages")
-    basis = latent_basis(rows, matrix, min(len(vocabulary), len(ids) + EXTRA_RANK))
-    text = dict(items)
-    checked = {i: (words[i], answer_of(text[i])) for i in ids}
-    return _checked(docs, _candidates(rows, basis, matrix, ids), checked)
+    return docs.mapInArrow(run, FOUND)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -289,29 +289,38 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Each pair comes once, with its longest common subsequence as a share of the item's words. Null, empty and
     wordless texts and items match nothing; an empty table on either side gives no rows; rows of one doc_id (or
-    items of one item_id: the first text by order) count together; other columns are ignored.
+    items of one item_id: the first text by order) count together; rows with a null id are left out; of equal
+    matches the greater cosine is given. Long texts are read whole, in blocks of passages. Other columns are
+    ignored, whatever their names.
     """
+    spark = docs.sparkSession
+    ready(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
-    # The benchmark is the query set: it is read to the driver in blocks of ITEM_BLOCK items.
-    items = benchmark.where("item_id is not null and text is not null").groupBy("item_id").agg(F.min("text").alias("text"))
-    held: list[tuple[int, str]] = []
+    queries = benchmark.where("item_id is not null and text is not null").groupBy("item_id").agg(F.min("text").alias("text"))
+    known: tuple[np.ndarray, np.ndarray] | None = None
+    held: list[Item] = []
     found: DataFrame | None = None
 
-    def add(block: list[tuple[int, str]]) -> None:
+    def add() -> None:
         nonlocal found
-        part = _block(docs, block)
-        if part is not None:
+        if held:
+            part = _searched(docs, Search(*known, list(held)))
             found = part if found is None else found.union(part)
-
-    for r in items.orderBy("item_id").toLocalIterator():
-        held.append((r.item_id, r.text))
-        if len(held) == ITEM_BLOCK:
-            add(held)
-            held = []
-    if held:
-        add(held)
+            held.clear()
+
+    # The benchmark is the query set: the driver holds ITEMS items at a time.
+    for r in queries.orderBy("item_id").toLocalIterator():
+        if known is None:
+            rows, df, n = sketch(docs)
+            known = rows, weights(df, n)
+        item = Item(r.item_id, r.text, known[1])
+        if item.words:
+            held.append(item)
+        if len(held) == ITEMS:
+            add()
+    add()
     if found is None:
-        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, kind string, lcs double, cosine double")
+        return spark.createDataFrame([], FOUND)
     best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("lcs", "cosine", "kind")).alias("x"))
     return best.select("doc_id", "item_id", "x.kind", "x.lcs", "x.cosine")
 
