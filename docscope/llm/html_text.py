@@ -1,9 +1,11 @@
 """HTML main text by tag-path ratios.
 
-Each text node has a root-to-leaf tag path. Per path, text length and punctuation are averaged over its nodes;
-both ratios are smoothed along the page, fused into one score, and paths above a threshold are content. The
-element that holds nearly all content text is the article; its blocks are the result, without the parts that
-are marked as menus, forms, notices and the like.
+Each block of text has a root-to-leaf path of tags with their class, id and role names. Per path, text length and
+punctuation are averaged over its blocks; both ratios are smoothed along the page, fused into one score, lowered by the
+share of link text and by names that mark parts beside the main text, and paths above a threshold are content. They
+select the nodes of the result. Short blocks between them (headings, list items, table cells) come along where
+the element that holds the content holds them too. Names are a feature of the score and no veto: what they mark on
+all of a page's text lowers the threshold as well.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import ready, table
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
@@ -38,11 +40,11 @@ MARKS = frozenset(
     "comment comments commentlist respond reply replies discussion disqus related recommended recommendations share sharing social "
     "form hidden skip copyright tags".split()
 )
-#: With these words an element is the main text, whatever else its names say.
+#: With these words an element is not lowered, whatever else its names say.
 MAIN = frozenset("article articlebody articlecontent entry post posting story content main body maintext text page wrapper container".split())
 #: Of these, words that also name the look of the main text or of its surroundings; they don't outweigh MARKS.
 LOOKS = frozenset("body page wrapper container text".split())
-#: Of MARKS, words that parts of an article have too: within one, the path's ratio decides.
+#: Of MARKS, words that parts of an article have too: they lower the score less.
 DOUBTFUL = frozenset("discussion related notice notices alert side tags form social rail banner skip".split())
 #: The state of an element, not what it is.
 STATE = re.compile(r"(?:has|no|with|without)[-_]", re.I)
@@ -74,34 +76,45 @@ CLOSES = {
 }
 
 
-class Element:
-    __slots__ = ("tag", "path", "parent", "off", "depth", "body", "doubt")
+#: The score of a path is multiplied by this for each element marked as beside the main text, surely or in doubt.
+SURE, DOUBT = 0.1, 0.5
+
 
-    def __init__(self, tag: str, parent: Element | None, off: bool, body: bool = False, doubt: bool = False) -> None:
-        self.tag, self.parent, self.off, self.body, self.doubt = tag, parent, off, body, doubt
-        self.path = f"{parent.path}/{tag}" if parent else tag
+class Element:
+    __slots__ = ("tag", "path", "parent", "off", "depth", "main", "factor", "link", "sure")
+
+    def __init__(self, tag: str, parent: Element | None, off: bool, names: str = "", main: bool = False, factor: float = 1.0) -> None:
+        self.tag, self.parent, self.off, self.main = tag, parent, off, main
+        self.factor = parent.factor * factor if parent else 1.0
+        self.sure = bool(parent and parent.sure) or factor == SURE
+        self.link = tag == "a" or bool(parent and parent.link)
+        # Inline elements are part of their block's path.
+        self.path = f"{parent.path}/{tag}{names}" if parent and (tag in BLOCK or tag in DROPPED) else parent.path if parent else tag
         self.depth = parent.depth + 1 if parent else 0
 
 
-def _marked(attrs: str) -> tuple[bool, bool, bool]:
-    """Whether attributes mark an element as beside the main text, as the main text, and as beside it in doubt only."""
-    off = body = sure = main = False
+def _marked(attrs: str) -> tuple[bool, bool, float, str]:
+    """Of attributes: whether they hide the element, name it as main text, the factor of its marks, and its names."""
+    off = main = named = sure = False
+    names: list[str] = []
     for name, value in ATTR.findall(attrs):
         name, value = name.lower(), html.unescape(value.strip("\"'"))
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
-            return True, False, False
+            return True, False, 1.0, ""
         if name in ("class", "id", "role", "itemprop"):
             for one in value.split():
                 if STATE.match(one):
                     continue
                 words = {w.lower() for w in WORD.findall(one)}
+                names += words
                 if words & MARKS:
                     off = True
                     sure |= not words & MARKS <= DOUBTFUL
                 elif words & MAIN:
-                    body = True
+                    named = True
                     main |= not words & MAIN <= LOOKS
-    return off and not main, body, off and not sure
+    factor = 1.0 if main or not off else SURE if sure else DOUBT
+    return False, named and factor == 1.0, factor, "".join(f".{n}" for n in sorted(set(names)))
 
 
 def text_nodes(page: str) -> list[tuple[Element, int, str]]:
@@ -136,14 +149,14 @@ def text_nodes(page: str) -> list[tuple[Element, int, str]]:
                 e = e.parent
             if found:
                 at = found.parent
-            off, body, doubt = _marked(m["attrs"]) if m["attrs"] else (False, False, False)
-            if doubt := off and doubt and any(x.body for x in _up(at)):
-                off = False
-            off = at.off or tag in DROPPED or off and tag not in ("html", "body", "main", "article")
+            hidden, main, factor, names = _marked(m["attrs"]) if m["attrs"] else (False, False, 1.0, "")
+            off = at.off or tag in DROPPED or hidden
+            if tag in ("html", "body", "main", "article"):
+                factor = 1.0
             if tag == "header" and not off:
                 off = not any(x.tag in ("article", "main") for x in _up(at))
             if not m["attrs"].endswith("/") or tag in BLOCK:
-                at = Element(tag, at, off, body or tag in ("article", "main"), at.doubt or doubt)
+                at = Element(tag, at, off, names, main or tag in ("article", "main"), factor)
     return nodes
 
 
@@ -153,85 +166,102 @@ def _up(e: Element | None) -> Iterator[Element]:
         e = e.parent
 
 
-def content_paths(nodes: list[tuple[Element, int, str]], threshold: float = 0.5) -> set[str]:
-    """Paths whose smoothed and fused ratio of text and punctuation to nodes reaches ``threshold`` of the mean by text."""
+class Block:
+    """The text nodes of one block that are not dropped: their path, length, punctuation and link text."""
+
+    __slots__ = ("at", "texts", "length", "marks", "links")
+
+    def __init__(self, at: Element) -> None:
+        self.at, self.texts, self.length, self.marks, self.links = at, [], 0, 0, 0
+
+    def add(self, e: Element, text: str) -> None:
+        self.texts.append(text)
+        if n := len(text.strip()):
+            self.length += n
+            self.marks += len(PUNCTUATION.findall(text))
+            self.links += n * e.link
+
+    def weak(self) -> bool:
+        """Mostly links, or marked as beside the main text."""
+        return 2 * self.links > self.length or self.at.sure
+
+
+def blocks_of(page: str) -> list[Block]:
+    blocks: list[Block] = []
+    last = None
+    for e, number, text in text_nodes(page):
+        if e.off:
+            continue
+        if number != last:
+            blocks.append(Block(e))
+            last = number
+        elif not blocks[-1].length and text.strip():
+            blocks[-1].at = e
+        blocks[-1].add(e, text)
+    return [b for b in blocks if b.length]
+
+
+def content_paths(blocks: list[Block], threshold: float = 0.35) -> set[str]:
+    """Paths whose smoothed and fused ratios of text and punctuation to blocks reach ``threshold`` of the page's level."""
+    count: dict[str, int] = {}
     length: dict[str, int] = {}
     marks: dict[str, int] = {}
-    count: dict[str, int] = {}
-    order: list[str] = []
-    for e, _, text in nodes:
-        if e.off or not (n := len(text.strip())):
-            continue
-        p = e.path
-        length[p] = length.get(p, 0) + n
-        marks[p] = marks.get(p, 0) + len(PUNCTUATION.findall(text))
+    links: dict[str, int] = {}
+    factor: dict[str, float] = {}
+    order = [b.at.path for b in blocks]
+    for p, b in zip(order, blocks, strict=True):
         count[p] = count.get(p, 0) + 1
-        order.append(p)
-    if not order:
-        return set()
-    text_ratio = {p: length[p] / count[p] for p in count}
-    mark_ratio = {p: marks[p] / count[p] for p in count}
-
-    def smooth(ratio: dict[str, float]) -> dict[str, float]:
-        """Binomial weights over each node and its neighbours, averaged for each path."""
-        total: dict[str, float] = {}
+        length[p] = length.get(p, 0) + b.length
+        marks[p] = marks.get(p, 0) + b.marks
+        links[p] = links.get(p, 0) + b.links
+        factor[p] = b.at.factor
+
+    def smooth(total: dict[str, int]) -> dict[str, float]:
+        """Binomial weights over each block's path and those of its neighbours, averaged for each path."""
+        ratio = {p: total[p] / count[p] for p in count}
+        found: dict[str, float] = {}
         last = len(order) - 1
         for i, p in enumerate(order):
             near = 2 * ratio[p] + ratio[order[max(0, i - 1)]] + ratio[order[min(last, i + 1)]]
-            total[p] = total.get(p, 0.0) + near / 4
-        return {p: t / count[p] for p, t in total.items()}
+            found[p] = found.get(p, 0.0) + near / 4
+        return {p: t / count[p] for p, t in found.items()}
 
-    texts, puncts = smooth(text_ratio), smooth(mark_ratio)
-    fused = {p: texts[p] * (1 + puncts[p]) for p in count}
-    whole = sum(length.values())
-    mean = sum(fused[p] * length[p] for p in count) / whole
-    return {p for p in count if fused[p] >= threshold * mean}
+    texts, puncts = smooth(length), smooth(marks)
+    fused = {p: (texts[p] * (1 + puncts[p])) ** 0.5 * (1 - links[p] / length[p]) * factor[p] for p in count}
+    # The level of the text that scores high: much text that scores low does not move it.
+    level = sum(fused[p] ** 2 * length[p] for p in count) / (sum(fused[p] * length[p] for p in count) or 1.0)
+    return {p for p in count if fused[p] >= threshold * level}
 
 
-def main_text(page: str | None, threshold: float = 0.5, share: float = 0.8) -> str:
+def main_text(page: str | None, threshold: float = 0.35) -> str:
     """The article's blocks joined by newlines; empty for a null or empty page, or one without text."""
-    if not page:
+    if not page or not (blocks := blocks_of(page)):
         return ""
-    nodes = text_nodes(page)
-    content = content_paths(nodes, threshold)
+    content = content_paths(blocks, threshold)
+    chosen = [b for b in blocks if b.at.path in content]
     held: dict[Element, int] = {}
-    total = 0
-    for e, _, text in nodes:
-        if not e.off and e.path in content:
-            n = len(text.strip())
-            total += n
-            for x in _up(e):
-                held[x] = held.get(x, 0) + n
-    if not total:
-        return ""
-    # The deepest element with nearly all content text: a whole article or main rather than a part of it.
-    roots = [e for e, n in held.items() if n >= share * total]
-    named = [e for e in roots if e.body]
-    root = max(named or [e for e in roots if e.tag in BLOCK or not e.parent], key=lambda e: e.depth)
-    while root.parent and root.tag in HEADINGS | {"p", "li", "td", "tr", "pre", "blockquote"}:
-        root = root.parent
-    # Nearly all is not all: the outermost article or main around it, else all that holds more of the content text.
-    if around := [x for x in _up(root) if x.tag in ("article", "main")]:
-        root = around[-1]
+    for b in chosen:
+        for x in _up(b.at):
+            held[x] = held.get(x, 0) + b.length
+    total = sum(b.length for b in chosen)
+    # An article or main with most of the content is the root, the outermost if several are within each other; else
+    # the smallest element with all of it.
+    articles = [e for e, n in held.items() if e.tag in ("article", "main") and not any(x.tag in ("article", "main") for x in _up(e.parent))]
+    if 2 * sum(held[e] for e in articles) >= total:
+        roots = set(articles)
     else:
-        while root.parent and held[root.parent] > held[root]:
-            root = root.parent
-    roots = {root}
-    if named:  # further articles beside the one that holds most
-        roots |= {e for e in held if e.tag == "article" and e.depth == root.depth and e.parent is root.parent}
-    inside: dict[Element, bool] = {}
-    blocks: list[list[str]] = []
-    last = None
-    for e, block, text in nodes:
-        if e not in inside:
-            inside[e] = any(x in roots for x in _up(e))
-        if e.off or not inside[e] or _byline(e) or e.doubt and e.path not in content:
+        roots = {max((e for e, n in held.items() if n == total), key=lambda e: e.depth)}
+        while (root := next(iter(roots))).parent and (root.tag not in BLOCK or root.tag in HEADINGS | {"p", "li", "td", "tr", "pre", "blockquote"}):
+            roots = {root.parent}
+    whole = not roots & {e for e in roots if e.tag in ("html", "body", "")}
+    inside = [any(x in roots for x in _up(b.at)) for b in blocks]
+    hits = [i for i, b in enumerate(blocks) if inside[i] and b.at.path in content]
+    lines = []
+    for i, b in enumerate(blocks):
+        if not inside[i] or _byline(b.at):
             continue
-        if block != last:
-            blocks.append([])
-            last = block
-        blocks[-1].append(text)
-    lines = (" ".join(html.unescape("".join(b)).split()) for b in blocks)
+        if b.at.path in content or not b.weak() and (whole or hits[0] <= i <= hits[-1] or any(x.tag in HEADINGS for x in _up(b.at))):
+            lines.append(" ".join(html.unescape("".join(b.texts)).split()))
     return "\n".join(x for x in lines if x)
 
 
@@ -248,9 +278,12 @@ def _byline(e: Element) -> bool:
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page.
 
-    A null, empty or textless page gives an empty text. Repeated rows give repeated results, an empty table no rows;
-    other columns are ignored. Broken markup is read as browsers do: an end tag closes what it can, else nothing.
+    A null, empty or textless page gives an empty text. Repeated rows give repeated results, whatever their ids (null
+    too), an empty table no rows; other columns are ignored, whatever their names. Paths that tie at the threshold are
+    content. Long pages are read whole. Broken markup is read as browsers do: an end tag closes what it can, else
+    nothing.
     """
+    ready(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
