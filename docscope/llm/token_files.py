@@ -16,8 +16,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import partitions, shared_dir, table
+from .common import partitions, ready, shared_dir, table
 from .tokens import encoder
 
 SEQ_LEN, BATCH_ROWS, END_ID = 2048, 64, 2
@@ -120,12 +121,16 @@ def write_token_files(
 ) -> list[tuple[int, str, int, int]]:
     """Writes the ids of ``docs`` in ascending doc_id order as shards under ``path``; gives (shard, stem, docs, tokens).
 
-    A null text counts as empty and gets its end id alone; a null doc_id comes first; rows with one doc_id keep
-    the order of their texts; an empty table gives no shard. Each attempt of a task writes files of its own,
-    and only those of attempts that succeeded are listed, so lost executors leave no half-written shard in it.
-    ``dtype`` must hold every id. The list has one row for each range partition.
+    A null text counts as empty and gets its end id alone; a null doc_id comes first; rows with one doc_id stand in an
+    order of their texts' hashes and may be in several shards; an empty table gives no shard; long texts are written
+    whole; other columns are ignored, whatever their names. Each attempt of a task writes files of its own, and only
+    those of attempts that succeeded are listed, so lost executors leave no half-written shard in it. ``dtype`` must
+    hold every id, or a ValueError is raised. The list has one row for each range partition.
     """
     spark = docs.sparkSession
+    ready(spark)
+    if max(encoder(tokenizer).largest(), end_id) > np.iinfo(dtype).max:
+        raise ValueError(f"{dtype} does not hold every id of the tokenizer")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -143,8 +148,9 @@ def write_token_files(
             row = [pa.array([shard], pa.int32()), *(pa.array([x]) for x in (stem, writer.n_docs, writer.n_tokens))]
             yield pa.RecordBatch.from_arrays(row, names=["shard", "stem", "n_docs", "n_tokens"])
 
-    ordered = docs.select("doc_id", "text").repartitionByRange(partitions(spark), "doc_id")
-    done = ordered.sortWithinPartitions("doc_id", "text").mapInArrow(write, "shard int, stem string, n_docs long, n_tokens long")
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("hash"))
+    ordered = keyed.repartitionByRange(partitions(spark), "doc_id", "hash").sortWithinPartitions("doc_id", "hash")
+    done = ordered.select("doc_id", "text").mapInArrow(write, "shard int, stem string, n_docs long, n_tokens long")
     return sorted(tuple(r) for r in done.collect())
 
 

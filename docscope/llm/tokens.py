@@ -1,17 +1,36 @@
 """Word-cached tokenization: the ids of a text, as the tokenizers library gives them, at several times its speed.
 
-The tokenizer used here cuts at white space before anything else, so a text's ids are those of its
-white-space-separated pieces in order. Each worker keeps the ids of the pieces it has met; the library
-encodes the rest. Two bounded tables hold raw pieces and their lower-cased parts.
+A tokenizer whose file has the normalizer and the pre-tokenizer below cuts at white space before anything else, so a
+text's ids are those of its white-space-separated pieces in order. Each worker keeps the ids of the pieces it has met;
+the library encodes the rest. Two bounded tables hold raw pieces and their lower-cased parts. Any other tokenizer gets
+whole texts, by the library alone.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from struct import pack
 
 import numpy as np
 
+# The normalizer and the pre-tokenizer, as tokenizer files write them, that the fast path reproduces.
+NORMALIZER = {
+    "type": "Sequence",
+    "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}],
+}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {
+            "type": "Split",
+            "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+            "behavior": "Removed",
+            "invert": True,
+        },
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 #: Pieces of printable ASCII and Latin-1 letters, which no normalization but lower-casing changes.
 PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]{1,200}")
 #: How this vocabulary's pre-tokenizer cuts such a piece once it is lower-case.
@@ -54,6 +73,9 @@ class Encoder(dict):
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.limit, self.parts = limit, _Parts(self.tokenizer, limit)
+        held = json.loads(self.tokenizer.to_str())
+        added = [t["content"] for t in held.get("added_tokens") or ()]
+        self.fast = held["normalizer"] == NORMALIZER and held["pre_tokenizer"] == PRE_TOKENIZER and all(t.startswith("<|") for t in added)
 
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= self.limit:
@@ -74,10 +96,16 @@ class Encoder(dict):
         """All ids of a text as bytes; nothing for a null or empty text."""
         if not text:
             return b""
+        if not self.fast:
+            return self.library(text)
         pieces = filter(None, SPACES.split(text)) if NOT_SPACES.search(text) else text.split()
         return b"".join(map(self.__getitem__, pieces))
 
 
+    def largest(self) -> int:
+        return max(self.tokenizer.get_vocab().values(), default=0)
+
+
 _encoders: dict[str, Encoder] = {}
 
 
