@@ -2,7 +2,9 @@
 
 Level 1 encodes the listed keys; level 2 the keys of the corpus that level 1 takes for listed by mistake; level 3
 the listed keys that level 2 holds by mistake; and so on until no key of the corpus is mistaken. For every key of
-that universe the cascade then gives the exact answer, so the corpus needs no join with the list.
+that universe the cascade then gives the exact answer, so the corpus needs no join with the list. To build it, every
+key of the corpus is looked up in level 1, which is made of the list alone; only the keys that it holds, those listed
+and about one in twenty others, are compared with the list.
 
 Keys are dealt to shards by their hash, about ``keys_per_shard`` each, and each shard has a cascade of its own, built
 by one task. Filters of up to ``broadcast_bytes`` together are broadcast. Beyond that the rows are dealt by shard and
@@ -18,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import partitions, shared_dir, staged, table
+from .common import fresh, partitions, ready, shared_dir, staged, table
 
 #: (verdict, host, path): a rule fits its host and all subdomains where the url's path starts with its path.
 RULES = (
@@ -68,11 +70,11 @@ def _held(words: np.ndarray, h1: np.ndarray, h2: np.ndarray, level: int) -> np.n
     return held
 
 
-def build_cascade(h1: np.ndarray, h2: np.ndarray, listed: np.ndarray) -> list[bytes]:
-    """Filters by level for the distinct keys of one shard."""
+def build_cascade(h1: np.ndarray, h2: np.ndarray, listed: np.ndarray, most: int | None = None) -> list[bytes]:
+    """Filters by level, ``most`` at most, for the distinct keys of one shard."""
     levels: list[bytes] = []
     inside, outside = (h1[listed], h2[listed]), (h1[~listed], h2[~listed])
-    while len(inside[0]):
+    while len(inside[0]) and len(levels) != most:
         m = max(64, int(-len(inside[0]) * HASHES / np.log(1 - RATE ** (1 / HASHES))))
         words = np.zeros(-(-m // 8), np.uint8)
         for i in range(HASHES):
@@ -99,17 +101,53 @@ def keyed(key: Column) -> list[Column]:
     return [F.xxhash64(key).alias("h1"), F.xxhash64(key, F.lit("second")).alias("h2")]
 
 
-def build_filters(keys: DataFrame, keys_per_shard: int = 500_000) -> tuple[DataFrame, int]:
-    """(shard, level, bits) and the number of shards, for ``keys``: distinct h1, h2 and whether they are listed."""
-    shards = max(1, -(-keys.count() // keys_per_shard))
-
-    def build(key: tuple, t: pa.Table) -> pa.Table:
-        got = build_cascade(*(np.ascontiguousarray(t.column(c).to_numpy()) for c in ("h1", "h2", "listed")))
-        shard = pa.array([key[0].as_py()] * len(got), pa.int32())
-        return pa.table({"shard": shard, "level": pa.array(range(len(got)), pa.int32()), "bits": pa.array(got, pa.binary())})
-
-    dealt = keys.withColumn("shard", F.pmod("h1", F.lit(shards)).cast("int"))
-    return dealt.groupBy("shard").applyInArrow(build, "shard int, level int, bits binary"), shards
+class Filters:
+    """Filters of all shards by level: broadcast up to ``broadcast_bytes`` together, else read by the tasks they concern."""
+
+    def __init__(self, keys: DataFrame, shards: int, broadcast_bytes: int, most: int | None = None) -> None:
+        """``keys``: distinct h1, h2 and whether they are listed."""
+
+        def build(key: tuple, t: pa.Table) -> pa.Table:
+            got = build_cascade(*(np.ascontiguousarray(t.column(c).to_numpy()) for c in ("h1", "h2", "listed")), most)
+            shard = pa.array([key[0].as_py()] * len(got), pa.int32())
+            return pa.table({"shard": shard, "level": pa.array(range(len(got)), pa.int32()), "bits": pa.array(got, pa.binary())})
+
+        spark = keys.sparkSession
+        dealt = keys.withColumn("shard", F.pmod("h1", F.lit(shards)).cast("int"))
+        self.path, self.shards = shared_dir(spark, "url-filters"), shards
+        dealt.groupBy("shard").applyInArrow(build, "shard int, level int, bits binary").write.partitionBy("shard").parquet(self.path)
+        stored = spark.read.schema("level int, bits binary, shard int").parquet(self.path)
+        self.small = (stored.agg(F.sum(F.length("bits"))).first()[0] or 0) <= broadcast_bytes
+        held: dict[int, list[bytes]] = {}
+        if self.small:
+            for r in sorted(stored.collect(), key=lambda r: r["level"]):
+                held.setdefault(r["shard"], []).append(r["bits"])
+        self.known = spark.sparkContext.broadcast(held if self.small else None)
+
+    def look_up(self, rows: DataFrame, h1: str, h2: str, out: str, salts: int) -> DataFrame:
+        """``rows`` without their hashes h1 and h2, with ``out``: whether the filters hold them (null hashes: false)."""
+        path, shards, small, known = self.path, self.shards, self.small, self.known
+        names = [c for c in rows.columns if c not in (h1, h2)]
+        if not small:
+            shard = F.pmod(h1, F.lit(shards))
+            deal = F.pmod(F.hash(*rows.columns), F.lit(salts))  # a hot key spreads over tasks
+            rows = rows.repartition(partitions(rows.sparkSession), shard, deal).sortWithinPartitions(shard)
+
+        def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            loaded: dict[int, list[bytes]] = {}
+            for b in batches:
+                x, y = (b.column(c).fill_null(0).to_numpy(zero_copy_only=False) for c in (h1, h2))
+                held, shard = np.zeros(len(x), bool), x % shards
+                for s in np.unique(shard).tolist():
+                    if not small and s not in loaded:
+                        loaded = {s: _load(path, s)}
+                    levels = known.value.get(s, []) if small else loaded[s]
+                    at = np.flatnonzero(shard == s)
+                    held[at] = in_cascade(levels, x[at], y[at])
+                held &= b.column(h1).is_valid().to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(held)], names=[*names, out])
+
+        return rows.mapInArrow(look, rows.select(*names, F.lit(True).alias(out)).schema)
 
 
 def _load(path: str, shard: int) -> list[bytes]:
@@ -126,51 +164,33 @@ def _load(path: str, shard: int) -> list[bytes]:
 def with_listed(
     df: DataFrame, key: Column, listed: DataFrame, keys_per_shard: int = 500_000, broadcast_bytes: int = 64 << 20, salts: int = 64
 ) -> DataFrame:
-    """``df`` with ``listed``: whether its key is in the one-column table ``listed``; exact, null keys are not listed."""
+    """``df`` with ``listed``: whether its key is in the one-column table ``listed``; exact, null keys are not listed.
+
+    A column of ``df`` named ``listed`` gives way.
+    """
     spark = df.sparkSession
-    name = listed.columns[0]
-    on_list = listed.select(*keyed(F.col(name))).distinct().withColumn("listed", F.lit(True))
-    universe = df.where(key.isNotNull()).select(*keyed(key)).distinct()
-    keys = staged(universe.join(on_list, ["h1", "h2"], "left").fillna(False, ["listed"]), "url-keys")
-    filters, shards = build_filters(keys, keys_per_shard)
-    path = shared_dir(spark, "url-filters")
-    filters.write.partitionBy("shard").parquet(path)
-    stored = spark.read.schema("level int, bits binary, shard int").parquet(path)
-    small = (stored.agg(F.sum(F.length("bits"))).first()[0] or 0) <= broadcast_bytes
-    held: dict[int, list[bytes]] = {}
-    if small:
-        for r in sorted(stored.collect(), key=lambda r: r["level"]):
-            held.setdefault(r["shard"], []).append(r["bits"])
-    known = spark.sparkContext.broadcast(held if small else None)
-
-    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        loaded: dict[int, list[bytes]] = {}
-        for b in batches:
-            h1, h2 = (b.column(c).fill_null(0).to_numpy(zero_copy_only=False) for c in ("__h1", "__h2"))
-            out, shard = np.zeros(len(h1), bool), h1 % shards
-            for s in np.unique(shard).tolist():
-                if known.value is None and s not in loaded:
-                    loaded = {s: _load(path, s)}
-                levels = loaded[s] if known.value is None else known.value.get(s, [])
-                rows = np.flatnonzero(shard == s)
-                out[rows] = in_cascade(levels, h1[rows], h2[rows])
-            out &= b.column("__h1").is_valid().to_numpy(zero_copy_only=False)
-            names = [n for n in b.schema.names if n not in ("__h1", "__h2")]
-            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(out)], names=[*names, "listed"])
-
-    h1, h2 = (F.when(key.isNotNull(), c).alias(f"__{n}") for c, n in zip((F.xxhash64(key), F.xxhash64(key, F.lit("second"))), ("h1", "h2"), strict=True))
-    rows = df.select("*", h1, h2)
-    if not small:
-        shard = F.pmod("__h1", F.lit(shards))
-        rows = rows.repartition(partitions(spark), shard, F.pmod(F.hash(*df.columns), F.lit(salts))).sortWithinPartitions(shard)
-    return rows.mapInArrow(look, df.withColumn("listed", F.lit(True)).schema)
+    ready(spark)
+    on_list = listed.where(F.col(listed.columns[0]).isNotNull()).select(*keyed(F.col(listed.columns[0]))).distinct()
+    on_list = staged(on_list.withColumn("listed", F.lit(True)), "url-list")
+    shards = max(1, -(-on_list.count() // keys_per_shard))
+    first = Filters(on_list, shards, broadcast_bytes, 1)
+    seen = df.where(key.isNotNull()).select(*keyed(key)).distinct()
+    held = first.look_up(seen.select("h1", "h2", F.col("h1").alias("k1"), F.col("h2").alias("k2")), "k1", "k2", "held", salts)
+    wrong = held.where("held").select("h1", "h2").join(on_list, ["h1", "h2"], "left_anti").withColumn("listed", F.lit(False))
+    keys = staged(on_list.union(wrong), "url-keys", (on_list,))
+    filters = Filters(keys, shards, broadcast_bytes)
+    rows = df.drop("listed")
+    h1, h2 = fresh(rows, "h1"), fresh(rows, "h2")
+    hashes = [F.when(key.isNotNull(), c).alias(n) for c, n in zip(keyed(key), (h1, h2), strict=True)]
+    return filters.look_up(rows.select("*", *hashes), h1, h2, "listed", salts)
 
 
 def filter_urls(pages: DataFrame, listed_hosts: DataFrame, rules: tuple = RULES, **sizes: int) -> DataFrame:
     """page_id, host, path, rule, verdict, listed: a rule's verdict, else block for listed hosts and allow for others.
 
     A null url, or one without ``://``, has empty host and path, fits no rule and is on no list: allow. Repeated
-    rows are judged alike; an empty table gives no rows; other columns are ignored.
+    rows are judged alike, whatever their ids (null too); of rules of one length the later in ``rules`` wins; long urls are
+    read whole; an empty table gives no rows; other columns are ignored, whatever their names.
     """
     parsed = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     rule, verdict = best_rule(F.col("host"), F.col("path"), rules)
