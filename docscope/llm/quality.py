@@ -15,7 +15,7 @@ from .common import staged, table
 SPACE = r"[\x20\x09-\x0D]"
 SYMBOLS = r"[#*$%&|<>]"
 PUNCTUATION = r"[.,;:!?'\"()\-]"
-#: Common words of English, French, Spanish and German; words that languages share are one bin.
+#: Common words of English, French, Spanish and German, of any case; words that languages share are one bin.
 COMMON = (
     "the of and to in that is for "
     "de la le et les des en que "
@@ -78,7 +78,7 @@ def histograms(d: DataFrame) -> DataFrame:
     counts = {
         "__row": F.monotonically_increasing_id(),
         "__n": F.length(text).cast("long"),
-        "__common": F.filter("__words", lambda w: w.isin(COMMON)),
+        "__common": F.filter(F.transform("__words", F.lower), lambda w: w.isin(COMMON)),
         "c_upper": F.regexp_count(text, F.lit(r"\p{Lu}")),
         "c_digit": F.regexp_count(text, F.lit(r"\d")),
         "c_punct": F.regexp_count(text, F.lit(PUNCTUATION)),
@@ -133,7 +133,8 @@ def judge(
 
     A null text counts as empty and fails the base rules. Null languages are a language of their own. Documents of
     fewer than ``min_words`` words, or of a language without a reference, are judged by the base rules alone.
-    Repeated rows are judged alike; an empty table gives no rows; other columns are ignored.
+    Repeated rows are judged alike, whatever their ids (null too); a distance at its limit is kept; long texts are read
+    whole; an empty table gives no rows; other columns are ignored, whatever their names.
     """
     thin = base_features(docs.select("doc_id", "text", "lang"))
     features = staged(histograms(thin), "quality")
