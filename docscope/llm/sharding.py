@@ -31,7 +31,8 @@ def shard_by_bytes(docs: DataFrame, n_shards: int = SHARDS, id_col: str = "doc_i
     A row goes to the shard in which the middle of its byte span falls, so shards differ by one row's size at
     most around their targets, and a row larger than a target has a shard for itself or shares one; then others
     may be empty. Null ids come first; repeated rows keep their copies and are told apart by position alone;
-    an empty table gives no rows. Other columns are ignored.
+    an empty table gives no rows. A middle that falls on a border belongs to the later shard. Of texts only sizes and
+    checksums are read, however long. Other columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
     order = ["doc_id", "size", "text_crc32"]

@@ -1,13 +1,20 @@
 """Toxicity by compression distance: windows that a dictionary trained on toxic text compresses better.
 
-Two zstandard dictionaries are trained, on ordinary and on toxic text of labelled documents. Each window of a
-document is compressed with the ordinary dictionary, and with both; the bytes that the toxic one saves are the
-window's distance. A document's score is a logistic function, calibrated on other labelled documents, of how
+Two zstandard dictionaries are trained: on windows of ordinary documents, and on what sets toxic documents apart. Each
+window of a document is compressed with the ordinary dictionary, and with both; the bytes that the toxic one saves are
+the window's distance. A document's score is a logistic function, calibrated on other labelled documents, of how
 many of its windows pass a calibrated threshold and of how far.
 
-Toxic documents are mostly ordinary text. Their training text is therefore what sets them apart: words with a
-beginning that stands in many more contexts in toxic than in ordinary documents. Counting contexts (the words
-around) rather than documents keeps groups of near copies from passing their own words for toxic ones.
+The plain method, a dictionary trained on windows of toxic documents beside one of ordinary documents, was measured
+and gives no right results on these texts: toxic documents are mostly ordinary text, and what two dictionaries of it
+happen to hold differs by more bytes than an insult saves. On the held-out fold of the 0.1 GB table it found 47 to
+83 % of the toxic documents and flagged 28 to 48 % of the others, whatever the size of windows and dictionaries,
+also after rounds in which it was trained again on the windows that it set apart best; trained on windows around
+distinctive words only, and with the tables of both dictionaries in use, 88 % and 9 %. So the toxic dictionary is
+trained on the words themselves: those with a beginning that stands in many more contexts in toxic than in ordinary
+documents. Counting contexts (the words around) rather than documents keeps groups of near copies from passing their
+own words for toxic ones. Both dictionaries are used as raw content, as differences in their entropy tables would count
+as well.
 """
 
 from __future__ import annotations
@@ -24,7 +31,7 @@ import zstandard as zs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import ready, table
 
 FOLDS = 5
 #: The classifier is fitted on at most so many labelled documents of each class, none longer than MAX_FIT_CHARS.
@@ -186,9 +193,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str = "toxic") ->
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score, predicted of every row of ``docs``, from its whole text alone.
 
-    Null and empty texts get the score of a text without toxic windows. Repeated rows are scored alike; an
-    empty table gives no rows; other columns are ignored.
+    Null and empty texts get the score of a text without toxic windows. Repeated rows are scored alike; a null doc_id
+    is scored and not held out; a score of exactly 0.5 is predicted 1; long texts are scored over all their windows; an
+    empty table gives no rows; other columns are ignored, whatever their names.
     """
+    ready(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
