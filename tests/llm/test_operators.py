@@ -352,3 +352,164 @@ def test_minhash_hot_groups(spark, monkeypatch):
     df = spark.createDataFrame([*rows, (300, None), (301, None), (302, "")], "doc_id long, text string")
     label = brute_components(shingle_sets(df))
     assert {r.doc_id: r.component_id for r in minhash.near_duplicates(df).collect()} == label
+
+
+def test_near_and_far_tokenizers(spark, tmp_path):
+    """A tokenizer other than the one of the fast path gets whole texts by the library; ids too large for the files raise."""
+    import public_tokenizers
+
+    other = public_tokenizers.path("byte_bpe_50k.json")
+    code = tokens.encoder(other)
+    assert not code.fast and tokens.encoder().fast
+    for t in ["Don't  stop\n now", "É x²", " a b"]:
+        assert code.encode(t) == code.library(t)
+    with pytest.raises(ValueError):
+        token_files.write_token_files(empty(spark), f"file://{tmp_path}/t", dtype="uint8")
+
+
+def test_shortest_pack_first():
+    assert packing.pack_histogram({3000: 1, 2500: 1, 1000: 1}) == [((3000,), 1), ((2500, 1000), 1)]
+    rng = np.random.default_rng(5)
+    for _ in range(30):
+        lengths = rng.integers(1, 60, rng.integers(1, 40)).tolist()
+        packs = []  # one length at a time, each to the shortest pack
+        for n in sorted(lengths, reverse=True):
+            low = min(range(len(packs)), key=lambda i: sum(packs[i]), default=None)
+            if low is None or sum(packs[low]) + n > 60:
+                packs.append([n])
+            else:
+                packs[low].append(n)
+        got = sorted(sum(p) for p, n in packing.pack_histogram(dict(collections.Counter(lengths)), 60) for _ in range(n))
+        assert got == sorted(map(sum, packs))
+    lengths = np.minimum(4096, rng.lognormal(5.5, 1.2, 20_000).astype(int) + 1)
+    packs = sum(n for _, n in packing.pack_histogram(dict(collections.Counter(lengths.tolist()))))
+    assert lengths.sum() / (4096 * packs) > 0.99
+
+
+def brute_removed(rows, long_words=line_dedup.LONG_WORDS):
+    """Lines that go from each document: every chunk equal to an earlier one, grown over equal lines on both sides."""
+    first, gone, lines = {}, collections.defaultdict(set), {d: (t or "").split("\n") for d, t in rows}
+    found = sorted((d, s, n) for d, ls in lines.items() for s, n in line_dedup.chunks([x.encode() for x in ls], long_words))
+    for d, s, n in found:
+        first.setdefault(tuple(lines[d][s : s + n]), (d, s))
+    for d, s, n in found:
+        d0, s0 = first[tuple(lines[d][s : s + n])]
+        if (d0, s0) != (d, s):
+            a, b = lines[d], lines[d0]
+            words = [len(x.split()) for x in a]
+            up, down = line_dedup._reach(words, s - 1, -1, long_words), line_dedup._reach(words, s + n, 1, long_words)
+            k = 0
+            while k < min(up, s0) and a[s - k - 1] == b[s0 - k - 1]:
+                k += 1
+            m = 0
+            while m < down and s0 + n + m < len(b) and a[s + n + m] == b[s0 + n + m]:
+                m += 1
+            gone[d] |= set(range(s - k, s + n + m))
+    return {d: "\n".join(x for i, x in enumerate(lines[d]) if i not in gone[d]) for d, t in rows if t is not None}
+
+
+def test_line_dedup_brute_force(spark, small, monkeypatch):
+    """Against a dictionary of all chunks, with keys dealt to many tasks; extra columns of any name, empty texts and a long one."""
+    from docscope.llm import common
+
+    monkeypatch.setattr(common, "SPREAD", 2)
+    rows = sorted(texts(table(spark, small, "documents")).items()) + [(10_001, None), (10_002, ""), (10_003, LONG), (10_004, f"{LONG}\nmore")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_lines", F.lit("clash")).withColumn("spans", F.lit(7))
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(df).collect()}
+    want = brute_removed(rows)
+    assert {d: r.text for d, r in got.items() if r.text is not None} == want and got[10_001].text is None
+    assert got[10_004].text == "more" and all(r.spans == 7 for r in got.values())
+    assert sum(t != want.get(d) for d, t in rows if t is not None) > 20
+
+
+def planted(texts_, items, share, seed):
+    """Documents with an item each, of which a share of the words is replaced by words of other documents."""
+    rng = np.random.default_rng(seed)
+    pool = [w for t in texts_[:100] for w in (t or "").split()]
+    out = []
+    for k, t in items:
+        words = [pool[rng.integers(len(pool))] if rng.random() < share else w for w in t.split()]
+        around = (texts_[rng.integers(len(texts_))] or "").split()[:300]
+        at = int(rng.integers(len(around) + 1))
+        out.append((k, " ".join([*around[:at], *words, *around[at:]])))
+    return out
+
+
+def test_decontamination_against_brute_force(spark, small):
+    """Of what comparing every passage with every item finds, and of planted paraphrases, at least 0.9 is found; nothing else is."""
+    own = [t for _, t in sorted(texts(table(spark, small, "documents")).items())]
+    items = [(r.item_id, r.text) for r in table(spark, small, "benchmark").collect()]
+    rows, shares = list(enumerate(own)), {}
+    for n, share in enumerate((0.0, 0.2, 0.3)):
+        for k, t in planted(own, items, share, n):
+            shares[len(rows)] = share, k
+            rows.append((len(rows), t))
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("item_id", F.lit("clash"))
+    got = {(r.doc_id, r.item_id) for r in decontamination.leaks(df, table(spark, small, "benchmark")).collect()}
+    weight = np.ones(decontamination.BUCKETS)
+    import pyarrow as pa
+
+    held = decontamination.Sketch(0)
+    for _, _, h, bounds in decontamination.words_of(pa.array([t for _, t in rows])):
+        held.add(h, bounds)
+    weight = decontamination.weights(held.df, held.n)
+    known, want = [decontamination.Item(k, t, weight) for k, t in items], set()
+    for first, _, h, bounds in decontamination.words_of(pa.array([t for _, t in rows])):
+        for i in range(len(bounds) - 1):
+            ws = h[bounds[i] : bounds[i + 1]].tolist()
+            for p in range(max(1, -(-len(ws) // 32) - 1) if ws else 0):
+                for item in known:
+                    around = len(item.words)
+                    if item.match(ws[max(0, p * 32 - around) : (p + 2) * 32 + around])[0]:
+                        want.add((first + i, item.id))
+    assert len(got & want) >= 0.9 * len(want) and got <= want
+    for share in (0.0, 0.2, 0.3):
+        mine = [(d, k) for d, (s, k) in shares.items() if s == share]
+        assert sum(x in got for x in mine) >= 0.9 * len(mine), share
+    assert decontamination.leaks(empty(spark), table(spark, small, "benchmark")).count() == 0
+
+
+def test_html_by_ratios(spark, small):
+    """Without an article element the ratios find the same text, and without the ratios it is not found."""
+    same = other = 0
+    pages = [r.html for r in table(spark, small, "pages").select("html").collect()]
+    for page in pages:
+        bare = re.sub(r"<(/?)article>", r"<\1div>", page)
+        want = html_text.main_text(page)
+        same += html_text.main_text(bare) == want
+        other += html_text.main_text(bare, 0.0) != want
+    assert same == len(pages) and other > 0.9 * len(pages)
+    text = ("A sentence of the article, with a comma. " * 20).strip()
+    assert html_text.main_text(f'<body><div class="side-by-side"><p>{text}</p></div></body>') == text
+    lead = f"<body><div><h1>Title</h1><p>The lead says, in short, what follows.</p><div class=content><p>{text}</p><ul><li>one<li>two</ul></div></div></body>"
+    assert html_text.main_text(lead) == f"Title\nThe lead says, in short, what follows.\n{text}\none\ntwo"
+    rows = [(1, "u", None), (None, None, ""), (None, None, ""), (3, "u", f"<p>{text * 300}</p>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))
+    got = [(r.page_id, r.n_chars) for r in html_text.extract(df).collect()]
+    assert sorted(got, key=str) == sorted([(1, 0), (None, 0), (None, 0), (3, len(text) * 300)], key=str)
+
+
+ODD = [(None, "same text of a row without id " * 9, "en"), (None, "same text of a row without id " * 9, "en"), (5, LONG, "en"), (5, LONG, "en"), (5, None, None), (6, "", "xx")]
+
+
+def test_null_ids_and_repeated_rows(spark):
+    """Rows without id, repeated rows and columns with the operators' own names: every row comes back once."""
+    df = spark.createDataFrame(ODD, "doc_id long, text string, lang string")
+    for c in ("shard", "row", "part", "size", "n_words", "kept", "held_out", "score", "length", "rank", "h1", "listed", "spans", "words"):
+        df = df.withColumn(c, F.lit("clash"))
+    ids = sorted(str(d) for d, *_ in ODD)
+    crc = lambda t: zlib.crc32((t or "").encode())
+    got = sharding.shard_by_bytes(df, 3).collect()
+    assert sorted((str(r.doc_id), r.text_crc32) for r in got) == sorted((str(d), crc(t)) for d, t, _ in ODD)
+    for frame in (quality.judge(df), toxicity.score(df, toxicity.Model()), minhash.near_duplicates(df), line_dedup.dedup_lines(df)):
+        rows = frame.collect()
+        assert sorted(str(r.doc_id) for r in rows) == ids
+        if "kept" in frame.columns and frame.columns[1] != "text":
+            assert all(r.kept in (True, False) for r in rows)
+    pieces = packing.pack(df).collect()
+    assert sum(r.length for r in pieces) == sum(len(true_ids(tokens.encoder().tokenizer, t)) for _, t, _ in ODD)
+    shards = token_files.write_token_files(df, shared_dir(spark, "t"))
+    assert sorted(str(r.doc_id) for r in token_files.read_documents(spark, shards).collect()) == ids
+    pages = df.selectExpr("doc_id page_id", "concat('http://h', length(text), '.com/') url", "listed", "h1")
+    urls = url_filter.with_listed(pages, F.col("url"), spark.createDataFrame([("http://h0.com/",), (None,)], "h string")).collect()
+    assert sorted(r.listed for r in urls) == [False] * 5 + [True] and urls[0].h1 == "clash"

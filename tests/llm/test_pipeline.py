@@ -1,5 +1,7 @@
 """The pipeline: every stage keeps the columns, works on what its predecessor kept, and its decisions take effect."""
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from docscope.llm.common import staged, table
 from docscope.llm.decontamination import leaks
@@ -26,3 +28,21 @@ def test_stages(spark, small):
             assert docs.columns == columns
         kept.append(len(want))
     assert kept[0] >= kept[-1] > 0
+
+
+def test_odd_documents(spark, small):
+    """Null ids, repeated rows, null, empty and long texts, clashing columns and an empty table go through every stage."""
+    long = " ".join(f"w{i % 977}x{i}" for i in range(20_000))
+    rows = [(None, long, "en"), (None, long, "en"), (1, long, "en"), (1, long, "en"), (2, None, None), (3, "", "en"), (None, None, None)]
+    full = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for c in ("n_lines", "spans", "kept", "item_id", "component_id", "n_shingles"):
+        full = full.withColumn(c, F.lit("clash"))
+    for docs in (full, full.limit(0)):
+        n = docs.count()
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            before = docs.where("doc_id is null").count()
+            out = staged(stage(spark, docs, small), "t")
+            assert out.columns == docs.columns and out.where("doc_id is null").count() == before
+            assert out.where("n_lines = 'clash' and kept = 'clash'").count() == out.count() <= n
+            docs = out
+        assert corpus_pipeline.STAGES[-1][1](spark, docs, small).select("doc_id").distinct().count() == min(n, 2)
