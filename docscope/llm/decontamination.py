@@ -158,7 +158,7 @@ def sketch(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
     parts = docs.select("text").mapInArrow(read, "row long, places binary, vals binary")
     sums = parts.repartition(min(SKETCH, 64), "row").sortWithinPartitions("row").mapInArrow(summed, "row long, total binary")
     rows, df, n = np.zeros((SKETCH, BUCKETS), np.float32), np.zeros(BUCKETS), 0
-    for r in staged(sums, "sketch", batch_rows=16).collect():  # SKETCH + 1 rows of BUCKETS numbers
+    for r in staged(sums, "sketch", batch_rows=16).toLocalIterator():  # SKETCH + 1 rows of BUCKETS numbers
         if r.row < 0:
             got = np.frombuffer(r.total, "<f8")
             df, n = got[:-1], int(got[-1])
@@ -172,14 +172,24 @@ def weights(df: np.ndarray, n: int) -> np.ndarray:
     return np.log(1 + (n + 1) / (df + 0.5))
 
 
-def space(rows: np.ndarray, items: np.ndarray, rank: int) -> np.ndarray:
-    """Right singular vectors (rank by BUCKETS) of the weighted sketch and the items, which get ITEM_ENERGY times its energy."""
-    times = np.sqrt(ITEM_ENERGY * max(float((rows**2).sum()), 1.0) / max(float((items**2).sum()), 1e-9))
-    both = np.vstack([rows, items * times]).astype(np.float32)
-    values, left = np.linalg.eigh((both @ both.T).astype(np.float64))
+def onto_items(rows: np.ndarray, items: np.ndarray, rank: int) -> np.ndarray:
+    """What projects a passage on the latent space and then on each item there: a matrix of BUCKETS by items.
+
+    The matrix of the space is the weighted sketch ``rows`` over the items, which get ITEM_ENERGY times its energy. Its
+    right singular vectors are its own rows in other proportions, which the products of its rows give; so neither
+    the matrix nor the vectors are laid out.
+    """
+    times = np.float32(np.sqrt(ITEM_ENERGY * max(float((rows**2).sum()), 1.0) / max(float((items**2).sum()), 1e-9)))
+    cross = times * (rows @ items.T)
+    products = np.block([[rows @ rows.T, cross], [cross.T, times**2 * (items @ items.T)]]).astype(np.float64)
+    values, left = np.linalg.eigh(products)
     top = np.argsort(-values)[:rank]
     top = top[values[top] > 1e-6 * values.max()]
-    return ((left[:, top].T @ both) / np.sqrt(values[top])[:, None]).astype(np.float32)
+    shares = left[:, top] / np.sqrt(values[top])  # of the matrix's rows in each singular vector
+    latent = products[len(rows) :] @ shares  # the items in the space
+    latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
+    parts = (latent @ shares.T).astype(np.float32)
+    return np.ascontiguousarray((parts[:, : len(rows)] @ rows + (times * parts[:, len(rows) :]) @ items).T)
 
 
 class Item:
@@ -215,13 +225,12 @@ class Search:
     """The items in the latent space, and the passages that are near one and hold it."""
 
     def __init__(self, rows: np.ndarray, weight: np.ndarray, items: list[Item], cosine: float = COSINE) -> None:
+        """``rows``: the weighted sketch."""
         self.weight, self.items, self.cosine = weight.astype(np.float32), items, cosine
-        counts = np.array([np.bincount(x.buckets, minlength=BUCKETS).clip(max=2) for x in items], np.float32) * self.weight
-        basis = space(rows * self.weight, counts, len(items) + EXTRA_RANK)
-        latent = counts @ basis.T
-        latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
-        # A passage is projected on the space and then on the items: both as one matrix of buckets by items.
-        self.onto = np.ascontiguousarray((latent @ basis).T) * self.weight[:, None]
+        counts = np.array([np.bincount(x.buckets, minlength=BUCKETS).clip(max=2) for x in items], np.float32)
+        counts *= self.weight
+        self.onto = onto_items(rows, counts, len(items) + EXTRA_RANK)
+        self.onto *= self.weight[:, None]
         #: A passage's length in the items' terms, as other terms are outside what the items can tell.
         self.square = np.where(counts.any(axis=0), self.weight**2, 0)
 
@@ -313,6 +322,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         if known is None:
             rows, df, n = sketch(docs)
             known = rows, weights(df, n)
+            rows *= known[1].astype(np.float32)
         item = Item(r.item_id, r.text, known[1])
         if item.words:
             held.append(item)
