@@ -5,45 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Heading rules in order; the first hit wins. Fixed values of the heading classifier.
-HEADING_RULES = (
-    (r"^(references|acknowledge?ments?|related work|appendix.*|funding|supplementary.*)$", None, 0.0),
-    (r"results?.* and discussions?|discussions?.* and results?", "results", 0.95),
-    (r"methods?.* and results?", "methods", 0.80),
-    (r"^(introduction|intro)$", "introduction", 1.0),
-    (r"^(methods?|materials? and methods?|methodology|experimental (methods?|section|procedure))$", "methods", 1.0),
-    (r"^(results?|findings?|results? and (analysis|performance))$", "results", 1.0),
-    (r"^(discussion|conclusions?|summary|summary and conclusions?)$", "discussion", 1.0),
-    (r"^experimental results?$", "results", 0.90),
-    (r"\b(xrd|xps|sem|tem|ftir)\b", "results", 0.80),
-)
-RESET = r"(?i)^(references|related work|acknowledge?ments?)"
-
-
-def normal_heading(heading: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(F.coalesce(heading, F.lit(""))), r"^[0-9ivx.]+\s+|\s+", " "))
-
-
-def classify_heading(heading: Column) -> tuple[Column, Column]:
-    """(label, confidence) of a heading; null and 0 for one that is not part of the scheme or is unknown."""
-    text = normal_heading(heading)
-    label, confidence = F.lit(None).cast("string"), F.lit(0.0)
-    for pattern, name, value in reversed(HEADING_RULES):
-        label = F.when(text.rlike(pattern), F.lit(name)).otherwise(label)
-        confidence = F.when(text.rlike(pattern), F.lit(value)).otherwise(confidence)
-    return label, confidence
-
-
-def effective_labels(sections: DataFrame) -> DataFrame:
-    """Each section's own label, else the last before it; back matter and related work end the carry."""
-    w = Window.partitionBy("doc_id").orderBy("ord")
-    reset = F.col("heading").rlike(RESET)
-    d = sections.withColumn("run", F.sum(reset.cast("int")).over(w))
-    run = Window.partitionBy("doc_id", "run").orderBy("ord").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    own = F.when(reset, None).otherwise(F.col("imrad"))
-    return d.withColumn("own", own).select("doc_id", "ord", F.last("own", ignorenulls=True).over(run).alias("effective"))
-
-
 def imrad_summary(sections: DataFrame, order: tuple[str, ...]) -> DataFrame:
     """Labels found and missing of each paper, in canonical order."""
     found = sections.groupBy("doc_id").agg(F.collect_set("imrad").alias("have"), F.count("*").alias("n_sections"))
@@ -57,7 +18,7 @@ def imrad_summary(sections: DataFrame, order: tuple[str, ...]) -> DataFrame:
 #: A qualifier, kind, prefix, separator, number and panel; the first label in a text counts.
 LABEL = (
     r"(?iU)((?:supplement(?:ary|al)?|suppl?|supp|extended\s+data|appendix|online)\.?\s+)?"
-    r"\b(fig(?:ure)?s?|tab(?:le)?s?|sch(?:eme)?s?)\s*\.?\s*([SAE])?(\.?)(\d{1,3})([a-z])?(?![0-9])"
+    r"(fig(?:ure|s|\.|\b)|tab(?:les|le|\.|\b)|sch(?:emes|eme|\.|\b))\s*\.?\s*([SAE])?(\.?)(\d{1,3})([a-z])?(?![0-9])"
 )
 
 
@@ -101,12 +62,16 @@ def asof_table(figures: DataFrame, sections: DataFrame) -> DataFrame:
     return pairs.groupBy("doc_id", "n").agg(F.coalesce(F.max_by("ord", fits), F.min("ord")).alias("section_ord"))
 
 
-def nearest_section(figures: DataFrame, sections: DataFrame) -> DataFrame:
-    """The labelled section nearest by page; at equal distance one at or after the page, then the later one."""
-    s = sections.where("imrad is not null").select("doc_id", F.col("page").alias("s_page"), "ord", "imrad")
-    pairs = figures.select("doc_id", "n", "page").join(s, "doc_id", "left")
-    rank = F.struct(F.abs(F.col("s_page") - F.col("page")), (F.col("s_page") < F.col("page")).cast("int"), -F.col("ord"))
-    return pairs.groupBy("doc_id", "n").agg(F.min_by("imrad", rank).alias("nearest"))
+def nearest_anchor(figures: DataFrame, anchors: DataFrame) -> DataFrame:
+    """The label of the anchor (doc_id, at, page, label) nearest by page to each figure.
+
+    At equal distance the last anchor at or after the page counts, and if all lie before it the first.
+    """
+    a = anchors.select("doc_id", F.col("page").alias("a_page"), "at", "label")
+    pairs = figures.select("doc_id", "n", "page").join(a, "doc_id", "left")
+    after = F.col("a_page") >= F.col("page")
+    rank = F.struct(F.abs(F.col("a_page") - F.col("page")), (~after).cast("int"), F.when(after, -F.col("at")).otherwise(F.col("at")))
+    return pairs.groupBy("doc_id", "n").agg(F.min_by("label", F.when(F.col("page").isNotNull(), rank)).alias("nearest"))
 
 
 def duplicate_boxes(figures: DataFrame) -> DataFrame:

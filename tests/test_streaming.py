@@ -11,7 +11,7 @@ def test_throughput(spark, small, tmp_path):
     tasks = views.tasks(spark, small)
     tasks.write.parquet(str(tmp_path / "in"))
     stream = stream_throughput(stream_tasks(spark, str(tmp_path / "in"), "task_id long, publisher string, state string, stage_failed string, ts timestamp, seconds double"))
-    got = run_available(stream, "throughput", str(tmp_path / "check"))
+    got = run_available(stream, str(tmp_path / "out"), str(tmp_path / "check"))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, throughput(tasks).collect()))
 
 
