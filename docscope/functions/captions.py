@@ -7,10 +7,25 @@ from pyspark.sql import functions as F
 
 from docscope.operators.papers import LABEL, parsed_label
 
+from .cleaning import cleaned
 from .headings import stripped
 from .rules import caption_badness, is_incomplete_caption
 
 BODY_TEXT = r"(?i)\b(?:In this paper|In this section|The remainder of this paper|CRediT authorship|Declaration of competing interest|References)\b"
+# Where a caption turns into body text or another block, and the most characters it keeps.
+TRIM_MARKERS = r"(?i:\bAs shown in\s+(?:Fig|Figure|Table)\b|\bFrom\s+(?:Fig|Figure|Table)\.?\s+\d|\bIn\s+(?:Fig|Figure|Table)\.?\s+\d)|\b(?:Fig|Figure|Table|Scheme|Algorithm)\.?\s+\d+\s+[A-Z]"
+HARD_STOP = (
+    r"(?i)^\s*(?:\d+(?:\.\d+)*\.?\s+[A-Z][A-Za-z]|Table\s+\d|Fig(?:ure)?\.?\s+\d|CRediT authorship|Declaration of competing interest"
+    r"|Acknowledg(?:e)?ments?|Appendix\b|References\b|Funding\b|Data availability|Supplementary\b|Supporting information"
+    r"|usertype\b|protocol\b|send_\d+|role\s+\w+)"
+)
+BODY_START = (
+    r"(?i)^\s*(?:In the|For the|The scheme|The first|The second|The last|Then|Next|After|Before|As already|In case|In turn|Please note"
+    r"|We |Our |This |These |Those |Also,|Moreover|Furthermore|Finally,|The tool|Table \d+ presents|Fig\. \d+ shows)\b"
+)
+LATER_BLOCK = r"(?i)\b(?:CRediT authorship|Declaration of competing interest|Acknowledg(?:e)?ments?|Appendix\s+[A-Z]|References\b|usertype\b|protocol\s+\w+\(|send_\d+)\b"
+LATER_BODY = r"(?is)^(.{60,}?)\s+(?:In the|For the|The scheme|The first|Then|Next|After executing|As already mentioned|Please note)\b"
+MOST_TRIMMED, MOST_CLEAN, MOST_LINES = 400, 650, 700
 #: A caption of no more characters is a stub; another must be longer by the factor to replace a whole one.
 STUB, LONGER = 25, 1.15
 _MARK = "\u0001"
@@ -28,6 +43,47 @@ def caption_quality(caption: Column) -> Column:
     return F.when(c == "", none).otherwise(F.struct(F.when(F.size(reasons) > 0, "suspicious").otherwise("good").alias("status"), reasons.alias("reasons")))
 
 
+def _last(text: Column, mark: str) -> Column:
+    """The position, from 0, at which a mark stands last; -1 for none."""
+    pattern = rf"(?s)^(.*){mark}"
+    return F.when(text.rlike(pattern), F.length(F.regexp_extract(text, pattern, 1))).otherwise(-1)
+
+
+def trimmed_caption(caption: Column) -> Column:
+    """A caption of over 400 characters up to where it turns into body text, else to its last sentence end; blank for null."""
+    c = stripped(caption)
+    body = F.regexp_extract(c, rf"(?s)^(.{{20,}}?)(?:{TRIM_MARKERS})", 1)
+    bare = lambda x: F.regexp_replace(x, r"[ .,;:]+\z", "")
+    cut = _last(F.left(c, F.lit(MOST_TRIMMED)), r"\. ")
+    cut = F.when(cut < MOST_TRIMMED // 2, MOST_TRIMMED).otherwise(cut)
+    return F.when(F.length(c) <= MOST_TRIMMED, c).when(body != "", bare(body)).otherwise(F.concat(bare(F.left(c, cut)), F.lit(".")))
+
+
+def sentence_cut(text: Column) -> Column:
+    """The first 650 characters up to their last sentence end, if that leaves 80."""
+    head = F.left(text, F.lit(MOST_CLEAN))
+    cut = F.greatest(*(_last(head, m) for m in (r"\. ", r"\); ", r"\] ")))
+    cut = F.when(cut < 80, MOST_CLEAN).otherwise(cut)
+    return F.when(F.length(text) <= MOST_CLEAN, text).otherwise(F.regexp_replace(F.left(text, cut + 1), r"[ ,;:]+\z", ""))
+
+
+def clean_captions(df: DataFrame, caption: str) -> DataFrame:
+    """``df`` with its captions cleaned and cut where the next block or body text begins; blank for null."""
+    lines = F.filter(F.transform(F.split(F.col(caption), "\n"), stripped), lambda x: x != "")
+    chars = lambda n: F.length(F.array_join(F.slice(lines, F.lit(1), n), " "))
+    ends = lambda x, i: (i > 0) & (x.rlike(HARD_STOP) | (x.rlike(BODY_START) & (chars(i) > 35)))
+    first = lambda f: F.array_min(F.transform(lines, f))
+    end = F.least(first(lambda x, i: F.when(ends(x, i), i)), first(lambda x, i: F.when(chars(i + 1) > MOST_LINES, i + 1)))
+    kept = F.array_join(F.slice(lines, F.lit(1), F.coalesce(end, F.size(lines))), "\n")
+    df = cleaned(cleaned(df, caption).withColumn(caption, kept), caption)
+    bare = lambda x: F.regexp_replace(x, r"[ ,;:]+\z", "")
+    c = F.col(caption)
+    at = F.regexp_instr(c, F.lit(LATER_BLOCK)) - 1
+    df = df.withColumn(caption, F.when(at > 25, bare(F.left(c, at))).otherwise(c))
+    body = F.regexp_extract(c, LATER_BODY, 1)
+    return df.withColumn(caption, sentence_cut(F.when(body != "", bare(body)).otherwise(c)))
+
+
 def figure_placeholder(label: Column, figure_id: Column, kind: Column) -> Column:
     """[Figure 3 here]: the label, with its kind before it if it does not say so itself."""
     name = F.coalesce(F.nullif(label, F.lit("")), F.nullif(figure_id, F.lit("")), F.lit("FIGURE"))

@@ -222,9 +222,10 @@ def tables_of_pages(pages: DataFrame) -> DataFrame:
     """One row for each table number of a document: doc_id, num, page, caption, body, text, caption_only, low_confidence, score, reasons.
 
     The first block of a number gives its page, caption and score; bodies of later blocks of it, on this page or others,
-    are added in order unless they are there already or begin like an earlier one.
+    are added in order unless they are there already or begin like an earlier one. Rows with a null doc_id are left out:
+    they are of no document, and may be many.
     """
-    blocks = table_blocks(pages)
+    blocks = table_blocks(pages.where("doc_id is not null"))
     caption, body = caption_and_body(F.col("text"))
     # A noop cut of the expression: without it the optimizer copies the cleaning into each of its uses.
     b = blocks.withColumn("p", F.explode(F.array(F.struct(caption.alias("caption"), body.alias("body")))))

@@ -12,7 +12,7 @@ from docscope.operators import papers as P
 from docscope.operators import runs as R
 from docscope.operators import scoring as S
 
-from . import content, judging
+from . import content, judging, layout
 from . import views as V
 
 POINTS = {"traceable": 2, "partially_traceable": 1, "not_traceable": 0}
@@ -284,7 +284,7 @@ SQL["tei_sections"] = V.with_views(
     f"""SELECT doc_id, ord, heading, coalesce(label, nullif(last_value(CASE WHEN source='excluded' OR label='introduction' THEN '' ELSE label END IGNORE NULLS)
       OVER (PARTITION BY doc_id ORDER BY ord ROWS UNBOUNDED PRECEDING), '')) AS imrad FROM v_sections JOIN {_CLASSES} USING (heading)""", "sections"
 )
-QUERIES |= content.QUERIES | judging.QUERIES
-SQL |= content.SQL | judging.SQL
+QUERIES |= content.QUERIES | judging.QUERIES | layout.QUERIES
+SQL |= content.SQL | judging.SQL | layout.SQL
 JUDGED = judging.SCORED_WHERE
 SQL["evals_scored"] = V.with_views(f"SELECT * FROM ({_SCORE}) WHERE {JUDGED}", "entities", "section_verdicts", "relations")
